@@ -140,19 +140,19 @@ def naive_scale(
     season: int = SEASON,
     target: str = "pv",
     strict: bool = False,
-    series: str = SERIES,
+    by: Sequence[str] = (SERIES,),
     idx: str = IDX,
 ) -> DataFrame:
-    """Per series: mean absolute seasonal difference of the train rows (``scale``).
+    """Per series (or other ``by``): mean absolute seasonal difference of the train rows (``scale``).
 
     NULL when it is 0. A series with at most ``season`` train rows has no scale:
     ``strict`` fails the job, otherwise NULL. ``time_idx`` must be dense in ``train``.
     """
     lagged = with_row_frames(
-        train.select(series, idx, target),
+        train.select(*by, idx, target),
         lambda w: {"_lag": F.lag(target, season).over(w)},
         back=season,
-        series=series,
+        series=by,
         idx=idx,
     )
     rows = F.count(F.lit(1))
@@ -160,12 +160,12 @@ def naive_scale(
     if strict:
         short = F.raise_error(F.lit(f"a series has at most {season} train rows"))
         scale = F.when(rows <= season, short.cast("double")).otherwise(scale)
-    return lagged.groupBy(series).agg(scale.alias("scale"))
+    return lagged.groupBy(*by).agg(scale.alias("scale"))
 
 
 def _with_mase(scored: DataFrame, scale: DataFrame, names: Mapping[str, str]) -> DataFrame:
     # both sides are aggregates: a few rows per series
-    joined = scored.join(scale, SERIES, "left")
+    joined = scored.join(scale, [c for c in scale.columns if c != "scale"], "left")
     return joined.withColumns({new: F.col(old) / F.col("scale") for old, new in names.items()})
 
 

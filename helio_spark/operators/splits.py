@@ -20,8 +20,12 @@ def series_length(df: DataFrame, series: str = SERIES, idx: str = IDX) -> DataFr
     return df.groupBy(series).agg((F.max(idx) + 1).alias("_rows"))
 
 
-def with_length(df: DataFrame, series: str = SERIES, idx: str = IDX) -> DataFrame:
-    return attach(df, series_length(df, series, idx), [series], "inner", spread=F.col(idx))
+def with_length(
+    df: DataFrame, series: str = SERIES, idx: str = IDX, lengths: DataFrame | None = None
+) -> DataFrame:
+    """``_rows``: the length of the row's series, from ``lengths`` if given."""
+    known = series_length(df, series, idx) if lengths is None else lengths
+    return attach(df, known, [series], "inner", spread=F.col(idx))
 
 
 def split_rows(
@@ -90,13 +94,15 @@ def walk_forward(
     val_frac: float = 0.1,
     start_frac: float = 0.5,
     min_start: int = 24,
+    lengths: DataFrame | None = None,
     series: str = SERIES,
     idx: str = IDX,
 ) -> DataFrame:
     """Each row once per fold it belongs to, with ``fold`` (from 1) and ``role``.
 
     Folds expand: fold k trains on all rows before its validation block. Folds
-    whose block would reach the end of the series are left out.
+    whose block would reach the end of the series are left out. ``lengths`` (see
+    ``series_length``) serves tables that do not hold every row of a series.
     """
     n = F.col("_rows")
     val_len = F.greatest(F.lit(1), share(n, val_frac))
@@ -104,7 +110,7 @@ def walk_forward(
     train_end = start + (F.col("fold") - 1) * val_len
     val_end = train_end + val_len
     return (
-        with_length(df, series, idx)
+        with_length(df, series, idx, lengths)
         .withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
         .where((val_end < n) & (F.col(idx) < val_end))
         .withColumn("role", F.when(F.col(idx) < train_end, TRAIN).otherwise(VAL))

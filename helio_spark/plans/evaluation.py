@@ -15,6 +15,7 @@ from helio_spark.operators.blending import (
     score_random_weights,
     score_subsets,
     score_weight_grid,
+    subsets,
 )
 from helio_spark.operators.forecasts import align_forecasts, stack_models, unpivot_models
 
@@ -39,7 +40,7 @@ def choose_weights(
         best = best_subset(
             score_subsets(outer, models, smallest, steps=steps, metric=metric), models, metric
         ).first()
-        members = best["subset"].split("+")
+        members = list(subsets(models, smallest)[best["subset_no"] - 1])
     else:
         aligned = align_forecasts(stacked, models)
         if method == "grid":
