@@ -189,7 +189,8 @@ def clearsky_solis(spark, sf_dir):
 
 _CLEARNESS = """
     SELECT event_id, ts, {kc}
-    FROM (SELECT *, CASE WHEN cs > 0 THEN least(greatest(ghi / cs, 0), 2) END AS kc
+    FROM (SELECT *, CASE WHEN cs > 0 AND ghi IS NOT NULL
+                         THEN least(greatest(ghi / cs, 0), 2) END AS kc
           FROM (SELECT *, CASE WHEN event_id % 6 <> 0 THEN value * 3 END AS ghi,
                        CASE WHEN sp_zenith < 90
                             THEN 1098 * cos(radians(sp_zenith)) * exp(-0.057 / cos(radians(sp_zenith)))

@@ -184,15 +184,18 @@ rm AS (
   SELECT *, avg(pv) OVER (PARTITION BY series_id ORDER BY time_idx
                           ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS mean24
   FROM sp),
+oh AS (
+  SELECT *, time_idx + horizon_h AS at_t, time_idx + horizon_h - 24 AS at_d,
+         time_idx + horizon_h - 168 AS at_w
+  FROM (SELECT *, unnest(generate_series(1, {horizon})) AS horizon_h FROM rm)),
 fc AS (
   SELECT o.series_id, o.time_idx, o.ts AS origin_ts, o.split,
-         o.ts + to_hours(CAST(k.h AS INTEGER)) AS forecast_ts, k.h AS horizon_h,
+         o.ts + to_hours(CAST(o.horizon_h AS INTEGER)) AS forecast_ts, o.horizon_h,
          t.pv AS y_true, d.pv AS day, w.pv AS week, o.mean24 AS mean
-  FROM rm o
-  CROSS JOIN (SELECT unnest(generate_series(1, {horizon})) AS h) k
-  JOIN r t ON t.series_id = o.series_id AND t.time_idx = o.time_idx + k.h
-  LEFT JOIN r d ON d.series_id = o.series_id AND d.time_idx = o.time_idx + k.h - 24
-  LEFT JOIN r w ON w.series_id = o.series_id AND w.time_idx = o.time_idx + k.h - 168)"""
+  FROM oh o
+  JOIN r t ON t.series_id = o.series_id AND t.time_idx = o.at_t
+  LEFT JOIN r d ON d.series_id = o.series_id AND d.time_idx = o.at_d
+  LEFT JOIN r w ON w.series_id = o.series_id AND w.time_idx = o.at_w)"""
 
 
 def rounded(*cols: str, digits: int = 6) -> str:

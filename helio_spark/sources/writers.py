@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from helio_spark.operators.ordering import IDX, SERIES
 
+# text formats drop microseconds unless told otherwise
+TEXT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 FILE_BLOCKS = 1 << 20  # rows of one series that share a writing task
 
 
@@ -24,13 +26,17 @@ def write_processed(df: DataFrame, path: str) -> None:
 
 
 def write_forecasts(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    writer = df.write.mode("overwrite")
-    writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+    writer = df.write.mode("overwrite").format(fmt)
+    if fmt in ("csv", "json"):
+        writer = writer.option("timestampFormat", TEXT_TIME)
+    if fmt == "csv":
+        writer = writer.option("header", True)
+    writer.save(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
     """Metric, history and configuration tables, one JSON object per line."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path, timestampFormat=TEXT_TIME)
 
 
 def write_weights(spark: SparkSession, weights: Mapping[str, float], path: str) -> None:

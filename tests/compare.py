@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -17,6 +18,9 @@ TABLES = (
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"SET temp_directory = '{tempfile.mkdtemp(prefix='duck-')}'")
+    con.execute("SET memory_limit = '6GB'")
+    con.execute("SET max_temp_directory_size = '2GB'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     return con
