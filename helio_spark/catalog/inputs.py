@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helio_spark.functions.solar import RATED_KW
-from helio_spark.operators.forecasts import long_forecasts, persistence, recent_mean
+from helio_spark.operators.forecasts import Persistence, RecentMean, long_forecasts
 from helio_spark.operators.ordering import index_hourly, index_rows
 from helio_spark.operators.splits import split_rows
 from helio_spark.session import use_utc
@@ -104,8 +104,7 @@ def forecasts(
     return long_forecasts(
         split_rows(rows) if splits else rows,
         horizon,
-        {"day": persistence(24), "week": persistence(168), "mean": recent_mean(24)},
-        back=168,
+        {"day": Persistence(24), "week": Persistence(168), "mean": RecentMean(24)},
         keep=["split"] if splits else [],
     )
 
@@ -125,7 +124,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     def plain(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            # half up on a scaled value: the built-in round goes through decimals
+            c = F.floor(c.cast("double") * 10.0**digits + 0.5) / 10.0**digits
         elif isinstance(f.dataType, T.IntegralType):
             c = c.cast("long")
         elif isinstance(f.dataType, T.TimestampType):

@@ -9,7 +9,7 @@ from helio_spark.catalog.registry import query
 from helio_spark.functions.solar import add_solar_position
 from helio_spark.functions.time import add_cyclic
 from helio_spark.operators.clean import drop_incomplete_rows
-from helio_spark.operators.forecasts import extended_metrics, persistence
+from helio_spark.operators.forecasts import extended_metrics, persistence_at
 from helio_spark.operators.history import add_history, target_columns
 from helio_spark.operators.ordering import reindex
 from helio_spark.operators.row_frames import with_row_frames
@@ -39,11 +39,10 @@ def _featured(spark, sf_dir):
 
 def _samples(spark, sf_dir):
     """Features, targets and persistence; complete rows only; stored for the many fits."""
-    naive = persistence()
     framed = with_row_frames(
         _featured(spark, sf_dir),
         lambda w: target_columns(w, HORIZON)
-        | {f"y_naive_h{h}": naive(w, h) for h in HORIZONS},
+        | {f"y_naive_h{h}": persistence_at(w, h) for h in HORIZONS},
         back=24,
         fwd=HORIZON,
     )

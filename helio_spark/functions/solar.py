@@ -3,14 +3,14 @@
 Published equations: Spencer (1971) for declination, equation of time and
 extraterrestrial irradiance; Kasten and Young (1989) air mass; Haurwitz (1945),
 Ineichen and Perez (2002), and the simplified Solis model of Ineichen (2008)
-for clear sky. Latitude, longitude, altitude and turbidity are columns, so many
-sites run in one job.
+for clear sky. Latitude, longitude and turbidity are columns, so many sites run in
+one job.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +40,53 @@ SUN_DISTANCE = (1.00011, ((0.034221, 0.00128), (0.000719, 0.000077)))
 SOLAR_CONSTANT = 1366.1
 
 
-def position_columns(lat: Column, lon: Column, ts: str = TS) -> dict[str, Column]:
+def in_stages(df: DataFrame, *stages: Mapping[str, Column], keep: Sequence[str]) -> DataFrame:
+    """Add columns stage by stage and drop the helpers (all but ``keep``).
+
+    A value used many times is a column of an earlier stage, so it is computed
+    once and the generated code stays small enough to be compiled.
+    """
+    out = df
+    for stage in stages:
+        out = out.withColumns(dict(stage))
+    helpers = {n for stage in stages for n in stage} - set(keep)
+    return out.drop(*helpers)
+
+
+def with_position(df: DataFrame, lat: Column, lon: Column, ts: str = TS) -> DataFrame:
     """``sp_zenith`` (no refraction) and ``sp_azimuth`` (from north) in degrees."""
-    minutes = F.pmod(F.unix_micros(F.col(ts)), F.lit(86_400_000_000)) / 60e6
-    day_angle = (F.dayofyear(ts) - 1 + (minutes / 60 - 12) / 24) * F.lit(2 * PI / 365)
-    decl = _fourier(day_angle, *DECLINATION)
-    eot = _fourier(day_angle, *EQUATION_OF_TIME) * 229.18
-    hour_angle = F.radians((minutes + eot + lon * 4) / 4 - 180)
-    phi = F.radians(lat)
-    cosz = F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(hour_angle)
-    clamped = F.when(lat.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosz)))
+    g, minutes, decl, phi = map(F.col, ("_day_angle", "_minutes", "_decl", "_phi"))
+    hour_angle, cosz = F.col("_hour_angle"), F.col("_cosz")
     azimuth = F.degrees(
         F.atan2(
             F.sin(hour_angle), F.cos(hour_angle) * F.sin(phi) - F.tan(decl) * F.cos(phi)
         )
     )
-    return {"sp_zenith": F.degrees(F.acos(clamped)), "sp_azimuth": F.pmod(azimuth + 180, F.lit(360.0))}
+    return in_stages(
+        df,
+        {
+            "_minutes": F.pmod(F.unix_micros(F.col(ts)), F.lit(86_400_000_000)) / 60e6,
+            "_phi": F.radians(lat),
+        },
+        {"_day_angle": (F.dayofyear(ts) - 1 + (minutes / 60 - 12) / 24) * F.lit(2 * PI / 365)},
+        {
+            "_decl": _fourier(g, *DECLINATION),
+            "_eot": _fourier(g, *EQUATION_OF_TIME) * 229.18,
+        },
+        {"_hour_angle": F.radians((minutes + F.col("_eot") + lon * 4) / 4 - 180)},
+        {
+            "_cosz": F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(hour_angle),
+            "sp_azimuth": F.pmod(azimuth + 180, F.lit(360.0)),
+        },
+        {
+            # least and greatest skip NULL, so an unknown site is kept NULL here
+            "sp_zenith": F.when(
+                cosz.isNotNull(),
+                F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosz)))),
+            )
+        },
+        keep=("sp_zenith", "sp_azimuth"),
+    )
 
 
 def extraterrestrial(ts: str = TS) -> Column:
@@ -69,25 +100,26 @@ def air_mass(zenith: Column) -> Column:
     return F.when(zenith < NIGHT_ZENITH, F.lit(1.0) / above)
 
 
-def _haurwitz(cosz: Column) -> dict[str, Column]:
-    ghi = cosz * 1098.0 * F.exp(F.lit(-0.057) / cosz)
-    return {"cs_ghi": ghi}
+# Each model is a list of stages over ``_z`` (cosine of the zenith), ``_i0`` and
+# ``_am``; ``_ghi``, ``_dni``, ``_dhi`` are its results while the sun is up.
+
+
+def _haurwitz() -> list[dict[str, Column]]:
+    z = F.col("_z")
+    return [{"_ghi": z * 1098.0 * F.exp(F.lit(-0.057) / z)}]
 
 
-def _ineichen(
-    zenith: Column, cosz: Column, i0: Column, altitude: Column, linke: Column
-) -> dict[str, Column]:
-    am = air_mass(zenith)
-    fh1 = F.exp(-altitude / 8000)
-    fh2 = F.exp(-altitude / 1250)
-    cg1 = altitude * 5.09e-5 + 0.868
-    cg2 = altitude * 3.92e-5 + 0.0387
-    ghi = cg1 * i0 * cosz * F.exp(-cg2 * am * (fh1 + fh2 * (linke - 1)))
-    b = F.lit(0.163) / fh1 + 0.664
-    beam = b * i0 * F.exp(am * (linke - 1) * -0.09)
-    rest = F.lit(1.0) - (F.lit(0.1) - F.exp(-linke) * 0.2) / (F.lit(0.882) / fh1 + 0.1)
-    dni = F.least(beam, ghi * rest / cosz)
-    return {"cs_ghi": ghi, "cs_dni": dni, "cs_dhi": ghi - dni * cosz}
+def _ineichen(altitude: float, linke: Column) -> list[dict[str, Column]]:
+    z, i0, am, ghi = map(F.col, ("_z", "_i0", "_am", "_ghi"))
+    fh1, fh2 = math.exp(-altitude / 8000), math.exp(-altitude / 1250)
+    cg1, cg2 = 5.09e-5 * altitude + 0.868, 3.92e-5 * altitude + 0.0387
+    beam = i0 * (0.664 + 0.163 / fh1) * F.exp(am * (linke - 1) * -0.09)
+    rest = F.lit(1.0) - (F.lit(0.1) - F.exp(-linke) * 0.2) / (0.1 + 0.882 / fh1)
+    return [
+        {"_ghi": i0 * cg1 * z * F.exp(am * (F.lit(fh1) + (linke - 1) * fh2) * -cg2)},
+        {"_dni": F.least(beam, ghi * rest / z)},
+        {"_dhi": ghi - F.col("_dni") * z},
+    ]
 
 
 def _polynomial(x: float, falling: Sequence[float]) -> float:
@@ -97,14 +129,12 @@ def _polynomial(x: float, falling: Sequence[float]) -> float:
     return value
 
 
-def _simplified_solis(
-    cosz: Column, i0: Column, altitude: Column, aod: float, water_cm: float
-) -> dict[str, Column]:
+def _simplified_solis(altitude: float, aod: float, water_cm: float) -> list[dict[str, Column]]:
     """``aod``: aerosol optical depth at 700 nm; ``water_cm``: precipitable water."""
     w = max(water_cm, 0.2)
     lw = math.log(w)
     # standard atmosphere: log of pressure relative to sea level
-    log_p = F.log(F.pow((F.lit(44331.514) - altitude) / 11880.516, F.lit(1 / 0.1902632)) / 1013.25)
+    log_p = math.log(((44331.514 - altitude) / 11880.516) ** (1 / 0.1902632) / 1013.25)
     # fixed values: fits of the model's enhanced irradiance, optical depths and exponents
     enhanced = _polynomial(aod, (0.12 * w**0.56, 0.97 * w**0.032, 1.08 * w**0.0051))
     beam_depth = _polynomial(
@@ -127,47 +157,57 @@ def _simplified_solis(
         diffuse_p = -0.71 * (1 + aod) ** -15.0
     b = (0.00925 * aod**2 + 0.0148 * aod - 0.0172) * lw - 0.7565 * aod**2 + 0.5057 * aod + 0.4557
     g = -0.0147 * lw - 0.3079 * aod**2 + 0.2846 * aod + 0.3798
-    d = F.lit(-0.337 * aod**2 + 0.63 * aod + 0.116) + log_p * (1 / (18 + 152 * aod))
-
-    source = i0 * (F.lit(enhanced) + log_p * 0.071)
-    tau_b = F.lit(beam_depth) + log_p * (0.0089 * w + 0.13)
-    tau_g = F.lit(global_depth) + log_p * (0.0079 * w + 0.1)
-    tau_d = F.lit(diffuse_depth) + log_p * diffuse_p
-    return {
-        "cs_ghi": source * F.exp(-tau_g / F.pow(cosz, F.lit(g))) * cosz,
-        "cs_dni": source * F.exp(-tau_b / F.pow(cosz, F.lit(b))),
-        "cs_dhi": source * F.exp(-tau_d / F.pow(cosz, d)),
-    }
-
-
-def clearsky_columns(
+    d = -0.337 * aod**2 + 0.63 * aod + 0.116 + log_p / (18 + 152 * aod)
+
+    z, source = F.col("_z"), F.col("_i0") * (enhanced + log_p * 0.071)
+    tau_b = beam_depth + log_p * (0.0089 * w + 0.13)
+    tau_g = global_depth + log_p * (0.0079 * w + 0.1)
+    tau_d = diffuse_depth + log_p * diffuse_p
+    return [
+        {
+            "_ghi": source * F.exp(F.lit(-tau_g) / F.pow(z, F.lit(g))) * z,
+            "_dni": source * F.exp(F.lit(-tau_b) / F.pow(z, F.lit(b))),
+            "_dhi": source * F.exp(F.lit(-tau_d) / F.pow(z, F.lit(d))),
+        }
+    ]
+
+
+def with_clearsky(
+    df: DataFrame,
     zenith: Column,
-    altitude: Column,
     turbidity: Column,
+    altitude: float = 0.0,
     model: str = "ineichen",
     ts: str = TS,
     aod: float = 0.1,
     water_cm: float = 1.0,
-) -> dict[str, Column]:
+) -> DataFrame:
     """Clear-sky irradiance in W/m2, 0 while the sun is down.
 
     ``haurwitz`` yields ``cs_ghi`` only; the others add ``cs_dni``, ``cs_dhi``.
     """
-    cosz = F.cos(F.radians(zenith))
-    i0 = extraterrestrial(ts)
     if model == "haurwitz":
-        out = _haurwitz(cosz)
+        stages = _haurwitz()
     elif model == "ineichen":
-        out = _ineichen(zenith, cosz, i0, altitude, turbidity)
+        stages = _ineichen(altitude, turbidity)
     elif model == "simplified_solis":
-        out = _simplified_solis(cosz, i0, altitude, aod, water_cm)
+        stages = _simplified_solis(altitude, aod, water_cm)
     else:
         raise ValueError(f"unknown clear-sky model {model!r}, use one of {CLEARSKY_MODELS}")
     day = zenith < NIGHT_ZENITH
-    return {
-        n: F.when(day, F.greatest(c, F.lit(0.0))).when(zenith.isNotNull(), F.lit(0.0))
-        for n, c in out.items()
+    base = {
+        "_z": F.when(day, F.cos(F.radians(zenith))),
+        "_i0": F.when(day, extraterrestrial(ts)),
+        "_am": air_mass(zenith),
+    }
+    parts = [n for n in ("ghi", "dni", "dhi") if any(f"_{n}" in stage for stage in stages)]
+    out = {
+        f"cs_{n}": F.when(day, F.greatest(F.col(f"_{n}"), F.lit(0.0))).when(
+            zenith.isNotNull(), F.lit(0.0)
+        )
+        for n in parts
     }
+    return in_stages(df, base, *stages, out, keep=tuple(out))
 
 
 def with_coordinates(df: DataFrame, lat: float | None = None, lon: float | None = None,
@@ -197,7 +237,7 @@ def add_solar_position(
     df: DataFrame, lat: float | None = None, lon: float | None = None, ts: str = TS
 ) -> DataFrame:
     sited = with_coordinates(df, lat, lon, ts=ts)
-    return sited.withColumns(position_columns(F.col("_lat"), F.col("_lon"), ts)).drop("_lat", "_lon")
+    return with_position(sited, F.col("_lat"), F.col("_lon"), ts).drop("_lat", "_lon")
 
 
 def add_clearsky(
@@ -217,8 +257,8 @@ def add_clearsky(
         out = out.join(monthly, F.month(ts) == F.col("_month"), "left")
     else:
         out = out.withColumns({"_month": F.lit(0), "_tl": F.lit(float(turbidity))})
-    made = clearsky_columns(F.col("sp_zenith"), F.lit(float(altitude)), F.col("_tl"), model, ts)
-    out = out.withColumns(made).drop("_month", "_tl")
+    out = with_clearsky(out, F.col("sp_zenith"), F.col("_tl"), altitude, model, ts)
+    out = out.drop("_month", "_tl")
     return out if had else out.drop("sp_zenith", "sp_azimuth")
 
 

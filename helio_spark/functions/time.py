@@ -56,7 +56,7 @@ def parse_utc_strict(text: Column) -> Column:
 
 
 def forecast_time(origin: Column, horizon_h: Column) -> Column:
-    return origin + F.make_interval(hours=horizon_h)
+    return F.timestamp_add("HOUR", horizon_h, origin)
 
 
 def cyclic_columns(ts: str = TS) -> dict[str, Column]:

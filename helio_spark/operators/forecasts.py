@@ -9,6 +9,7 @@ writers disagree on them.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -23,27 +24,30 @@ KEYS = (SERIES, "origin_ts", "horizon_h")
 SEASON = 24
 
 
-def persistence(season: int = SEASON, target: str = "pv"):
+@dataclass(frozen=True)
+class Persistence:
     """For (t, h): the value one season before the forecast row, ``target[t+h-season]``."""
 
-    def at(w: WindowSpec, h: int) -> Column:
-        if h > season:
-            raise ValueError(f"horizon {h} exceeds the season {season}")
-        return F.lag(target, season - h).over(w)
+    season: int = SEASON
 
-    return at
 
-
-def recent_mean(width: int, target: str = "pv"):
+@dataclass(frozen=True)
+class RecentMean:
     """Mean of the last ``width`` rows, for every horizon."""
-    return lambda w, h: F.avg(target).over(w.rowsBetween(1 - width, 0))
+
+    width: int = SEASON
+
+
+def persistence_at(w: WindowSpec, h: int, season: int = SEASON, target: str = "pv") -> Column:
+    if h > season:
+        raise ValueError(f"horizon {h} exceeds the season {season}")
+    return F.lag(target, season - h).over(w)
 
 
 def long_forecasts(
     df: DataFrame,
     horizon: int,
-    methods: Mapping[str, object],
-    back: int,
+    methods: Mapping[str, Persistence | RecentMean],
     target: str = "pv",
     keep: Sequence[str] = (),
     series: str = SERIES,
@@ -52,30 +56,51 @@ def long_forecasts(
 ) -> DataFrame:
     """One row per origin and horizon with a known truth; one column per method.
 
-    ``methods`` maps a column name to ``(window, h) -> Column``; ``back`` is the
-    furthest row any of them reads.
+    The truths and each method's values are one short array per origin (a frame
+    of ``horizon`` rows) that is then unrolled; that is far fewer window frames
+    than one lead or lag per horizon.
     """
-
-    def rows(w: WindowSpec) -> dict[str, Column]:
-        return {
-            f"_{name}_{h}": made(w, h)
-            for h in range(1, horizon + 1)
-            for name, made in {"y_true": lambda w, h: F.lead(target, h).over(w), **methods}.items()
-        }
-
-    wide = with_row_frames(df, rows, back=back, fwd=horizon, series=series, idx=idx)
-    names = ["y_true", *methods]
-    per_h = F.array(
-        *[
-            F.struct(F.lit(h).alias("horizon_h"), *[F.col(f"_{n}_{h}").alias(n) for n in names])
-            for h in range(1, horizon + 1)
-        ]
-    )
+    seasons = [m.season for m in methods.values() if isinstance(m, Persistence)]
+    if seasons and min(seasons) < horizon:
+        raise ValueError(f"horizon {horizon} exceeds the season {min(seasons)}")
+
+    def values(w: WindowSpec, first: int, last: int) -> Column:
+        # structs, because collect_list drops NULLs and would shift the rest
+        return F.collect_list(F.struct(F.col(target).alias("v"))).over(w.rowsBetween(first, last))
+
+    def arrays(w: WindowSpec) -> dict[str, Column]:
+        made = {"_truth": values(w, 1, horizon)}
+        for name, m in methods.items():
+            if isinstance(m, Persistence):
+                made[f"_{name}"] = values(w, 1 - m.season, horizon - m.season)
+            else:
+                made[f"_{name}"] = F.avg(target).over(w.rowsBetween(1 - m.width, 0))
+        return made
+
+    def at_horizon(name: str, m: Persistence | RecentMean) -> Column:
+        if isinstance(m, RecentMean):
+            return F.col(f"_{name}").alias(name)
+        # Early in a series the frame is cut at its start, so count from its end.
+        place = F.size(f"_{name}") + F.col("horizon_h") - (horizon + 1)
+        return F.get(f"_{name}", place)["v"].alias(name)
+
+    back = max([0, *seasons, *[m.width for m in methods.values() if isinstance(m, RecentMean)]])
+    framed = with_row_frames(df, arrays, back=back, fwd=horizon, series=series, idx=idx)
+    columns = [series, idx, F.col(ts).alias("origin_ts"), *keep, *[f"_{n}" for n in methods]]
+    unrolled = framed.select(*columns, F.posexplode("_truth").alias("_place", "_y"))
     return (
-        wide.select(series, idx, F.col(ts).alias("origin_ts"), *keep, F.inline(per_h))
-        .where(F.col("y_true").isNotNull())
-        .withColumn("forecast_ts", forecast_time(F.col("origin_ts"), F.col("horizon_h")))
-        .select(series, idx, "origin_ts", "forecast_ts", "horizon_h", *keep, *names)
+        unrolled.withColumn("horizon_h", F.col("_place") + 1)
+        .where(F.col("_y.v").isNotNull())
+        .select(
+            series,
+            idx,
+            "origin_ts",
+            forecast_time(F.col("origin_ts"), F.col("horizon_h")).alias("forecast_ts"),
+            "horizon_h",
+            *keep,
+            F.col("_y.v").alias("y_true"),
+            *[at_horizon(n, m) for n, m in methods.items()],
+        )
     )
 
 

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from helio_spark.operators.ordering import IDX, SERIES
 
-BLOCK_ROWS = 16_384
+# A window task keeps this many rows of a block in memory
+# (spark.sql.windowExec.buffer.in.memory.threshold); longer blocks go through a
+# spillable sorter, which each frame then reads on its own.
+BUFFER_ROWS = 4_096
 
 
 def with_row_frames(
@@ -26,14 +29,14 @@ def with_row_frames(
     fwd: int = 0,
     series: str | Sequence[str] = SERIES,
     idx: str = IDX,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add the columns of ``build(window)``; ``window`` is ordered by ``idx``.
 
     ``back`` / ``fwd`` are the furthest rows any expression reads. ``series`` may
     name several columns; ``idx`` must be dense within them.
     """
-    size = max(block_rows, back, fwd)
+    size = max(block_rows or BUFFER_ROWS - back - fwd, back, fwd)
     place = F.col(idx) % size
     copies = [F.lit(0)]
     if back:

@@ -64,7 +64,9 @@ def build_features(
     measured: DataFrame, weather: DataFrame, keep_future: bool = False, **options
 ) -> DataFrame:
     """Align two raw series and engineer all features."""
-    return engineer(align(measured, weather, keep_future=keep_future), **options)
+    # stored because site coordinates are read from it before the features
+    aligned = materialize(align(measured, weather, keep_future=keep_future), "aligned")
+    return engineer(aligned, **options)
 
 
 def build_scoring_features(
