@@ -21,10 +21,11 @@ def local_to_utc(local: Column, tz: Column | str, shift_minutes: int = 60) -> Co
     wall = local.cast("timestamp")
     guess = F.to_utc_timestamp(wall, zone)
     later = guess + F.make_interval(mins=F.lit(shift_minutes))
-    step = F.lit(shift_minutes * 60)
-    # In a gap the guess lands past the change by as much as the wall clock
-    # ran past it; changes happen on a multiple of the shift.
-    first_valid = F.timestamp_seconds(F.floor(F.unix_seconds(guess) / step) * step)
+    # A gap opens on a wall-clock multiple of its size; its opening, taken as
+    # UTC, is the instant of the change.
+    step = shift_minutes * 60
+    opening = F.timestamp_seconds(F.floor(F.unix_seconds(wall) / step) * step)
+    first_valid = F.to_utc_timestamp(opening, zone)
     return (
         F.when(F.from_utc_timestamp(guess, zone) != wall, first_valid)
         .when(F.from_utc_timestamp(later, zone) == wall, later)

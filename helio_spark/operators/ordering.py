@@ -71,7 +71,8 @@ def index_rows(
     slices: int | None = None,
 ) -> DataFrame:
     """``time_idx`` for any series, however its timestamps are distributed."""
-    laid = range_slices(df, series, order, ties, slices)
+    # ties are range keys too, so even many rows at one time are spread out
+    laid = range_slices(df, series, (*order, *ties), slices=slices)
     counts = laid.groupBy("_slice", series).agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
     )

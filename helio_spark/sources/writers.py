@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +14,16 @@ TEXT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 FILE_BLOCKS = 1 << 20  # rows of one series that share a writing task
 
 
-def write_processed(df: DataFrame, path: str) -> None:
-    """Parquet by ``series_id``; reads of one site prune to its folder.
+def write_processed(df: DataFrame, path: str, by: Sequence[str] = (SERIES,)) -> None:
+    """Parquet in folders ``by`` series; reads of one site prune to its folder.
 
     Rows are sent to writers by series and million-row block, so a series gives
-    few files and a long series many writers.
+    few files and a long series many writers. With very many small series pass
+    ``by=()``: the sorted files then prune by their statistics.
     """
     if IDX in df.columns:
         df = df.repartition(SERIES, F.floor(F.col(IDX) / FILE_BLOCKS)).sortWithinPartitions(SERIES, IDX)
-    df.write.mode("overwrite").partitionBy(SERIES).parquet(path)
+    df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_forecasts(df: DataFrame, path: str, fmt: str = "csv") -> None:
