@@ -186,13 +186,18 @@ def score_random_weights(
     return _drop_products(scored.withColumn("rmse", blend_rmse(models)), models)
 
 
+def _comparable(metric: str) -> Column:
+    """The score to 12 digits, so that equal blends tie despite rounding noise."""
+    return F.format_string("%.11e", F.col(metric)).cast("double")
+
+
 def best_weights(
     scored: DataFrame, models: Sequence[str], metric: str = "rmse", by: Sequence[str] = ()
 ) -> DataFrame:
     """The lowest score per ``by``; among equals the first in grid order."""
     weights = [f"w_{m}" for m in models]
     rest = [c for c in scored.columns if c not in by]
-    best = F.min_by(F.struct(*rest), F.struct(metric, *weights)).alias("_best")
+    best = F.min_by(F.struct(*rest), F.struct(_comparable(metric), *weights)).alias("_best")
     return scored.groupBy(*by).agg(best).select(*by, "_best.*")
 
 
@@ -268,5 +273,5 @@ def score_subsets(
 def best_subset(scored: DataFrame, models: Sequence[str], metric: str = "rmse") -> DataFrame:
     """The best subset and weights; among equals the smaller, earlier subset."""
     weights = [f"w_{m}" for m in models]
-    best = F.min_by(F.struct(*scored.columns), F.struct(metric, "subset_no", *weights))
+    best = F.min_by(F.struct(*scored.columns), F.struct(_comparable(metric), "subset_no", *weights))
     return scored.agg(best.alias("_best")).select("_best.*")

@@ -137,7 +137,7 @@ def read_or_build(
 
 
 def read_forecasts(spark: SparkSession, path: str | None, model: str) -> DataFrame | None:
-    """Long forecasts of one model; None if there are none."""
+    """Long forecasts of one model, optional columns as NULL; None if there are none."""
     from pyspark.errors import AnalysisException
 
     if not path:
@@ -150,7 +150,12 @@ def read_forecasts(spark: SparkSession, path: str | None, model: str) -> DataFra
     if absent:
         raise ValueError(f"forecasts of {model} lack the columns {sorted(absent)}")
     types = dict(part.split(" ") for part in FORECAST_SCHEMA.split(", "))
-    return found.select(*[F.col(c).cast(types[c]) for c in types if c in found.columns])
+    return found.select(
+        *[
+            (F.col(c) if c in found.columns else F.lit(None)).cast(t).alias(c)
+            for c, t in types.items()
+        ]
+    )
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
