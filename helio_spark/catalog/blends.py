@@ -16,7 +16,7 @@ from helio_spark.operators.blending import (
     score_weight_grid,
 )
 from helio_spark.operators.forecasts import KEYS, align_forecasts, stack_models, with_fallback
-from helio_spark.plans.evaluation import compare_members
+from helio_spark.plans.evaluation import apply_weights, choose_weights, compare_members
 
 _FC = forecasts_sql(BLEND_HORIZON)
 _FULL = f"{_FC}, af AS (SELECT * FROM fc WHERE day IS NOT NULL AND week IS NOT NULL)"
@@ -215,6 +215,32 @@ def members(spark, sf_dir):
     return tidy(compare_members(made, MODELS, by=["horizon_h"]))
 
 
+_TEST_MEMBERS = {**{m: m for m in MODELS}, "ensemble": f"({_BLEND})"}
+
+
+@query(
+    "validated_blend",
+    f"""
+    WITH {_FULL}, {_GRID},
+    s AS (SELECT w_day, w_week, w_mean, {_BLEND_RMSE} AS rmse
+          FROM af CROSS JOIN gw WHERE split = 'val' GROUP BY 1, 2, 3),
+    b AS (SELECT w_day, w_week, w_mean FROM s ORDER BY round(rmse, 12), w_day, w_week, w_mean LIMIT 1),
+    te AS (SELECT * FROM af CROSS JOIN b WHERE split = 'test')
+    """
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, count(*) AS n, "
+        + rounded(f"sqrt(avg((y_true - {p}) ** 2)) AS rmse", f"avg(abs(y_true - {p})) AS mae")
+        + " FROM te"
+        for m, p in _TEST_MEMBERS.items()
+    ),
+)
+def validated_blend(spark, sf_dir):
+    """Weights chosen on the validation rows, applied to and scored on the test rows."""
+    weights = choose_weights(model_tables(spark, sf_dir, "val"))
+    made = apply_weights(model_tables(spark, sf_dir, "test"), weights)
+    return tidy(compare_members(made, MODELS))
+
+
 @query(
     "stack_models",
     f"""

@@ -96,22 +96,26 @@ def with_site(df: DataFrame) -> DataFrame:
     return df.join(F.broadcast(sites(df.sparkSession)), "series_id")
 
 
+METHODS = {"day": Persistence(24), "week": Persistence(168), "mean": RecentMean(24)}
+
+
 def forecasts(
     spark: SparkSession, sf_dir: str, horizon: int = HORIZON, splits: bool = False
 ) -> DataFrame:
     """Three forecasts of every event: one season back, seven seasons back, recent mean."""
     rows = raw(spark, sf_dir)
-    return long_forecasts(
-        split_rows(rows) if splits else rows,
-        horizon,
-        {"day": Persistence(24), "week": Persistence(168), "mean": RecentMean(24)},
-        keep=["split"] if splits else [],
-    )
+    if splits:
+        return long_forecasts(split_rows(rows), horizon, METHODS, keep=["split"])
+    return long_forecasts(rows, horizon, METHODS)
 
 
-def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def model_tables(
+    spark: SparkSession, sf_dir: str, split: str | None = None
+) -> dict[str, DataFrame]:
     """The three as separate forecast tables; ``week`` starts later than ``day``."""
-    wide = forecasts(spark, sf_dir, BLEND_HORIZON)
+    wide = forecasts(spark, sf_dir, BLEND_HORIZON, splits=split is not None)
+    if split is not None:
+        wide = wide.where(F.col("split") == split)
     keys = ["series_id", "time_idx", "origin_ts", "forecast_ts", "horizon_h", "y_true"]
     return {
         m: wide.where(F.col(m).isNotNull()).select(*keys, F.col(m).alias("y_pred")) for m in MODELS

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from helio_spark.catalog.features import solar_sql
 from helio_spark.catalog.frames import FOLDS_SQL
 from helio_spark.catalog.inputs import (
+    HORIZON,
     HOURLY_SQL,
+    METHODS,
     SITES_SQL,
     forecasts,
     forecasts_sql,
@@ -25,6 +27,7 @@ from helio_spark.operators.forecasts import (
     error_by_hour,
     extended_metrics,
     horizon_metrics,
+    long_forecasts,
     macro_metrics,
     micro_and_horizon_metrics,
     naive_scale,
@@ -148,23 +151,40 @@ _ZENITH_SQL = f"""{forecasts_sql()}, {SITES_SQL},
 
 
 def _placed(spark, sf_dir):
-    rows = with_site(raw(spark, sf_dir).select("series_id", "time_idx", "ts")).drop("tz")
+    rows = with_site(raw(spark, sf_dir).select("series_id", "time_idx", "ts", "pv")).drop("tz")
     return add_solar_position(rows)
 
 
+_AT_FORECAST = "s.series_id = fc.series_id AND s.time_idx = fc.time_idx + fc.horizon_h"
+
+
 @query(
     "metrics_daylight",
     f"""
     WITH {_ZENITH_SQL}
     SELECT fc.horizon_h, count(*) AS n, {rounded(*_EXTENDED)}
-    FROM fc LEFT JOIN sun s ON s.series_id = fc.series_id AND s.time_idx = fc.time_idx + fc.horizon_h
+    FROM fc LEFT JOIN sun s ON {_AT_FORECAST}
     WHERE sp_zenith IS NULL OR sp_zenith <= 90 GROUP BY 1""",
 )
 def metrics_daylight(spark, sf_dir):
-    seen = with_zenith(forecasts(spark, sf_dir), _placed(spark, sf_dir))
+    """The zenith of the forecast row travels with the truth, without a join."""
+    seen = long_forecasts(_placed(spark, sf_dir), HORIZON, METHODS, ahead=["sp_zenith"])
     return tidy(extended_metrics(keep_daylight(seen), "mean"))
 
 
+@query(
+    "forecast_zenith",
+    f"""
+    WITH {_ZENITH_SQL}
+    SELECT fc.series_id, fc.time_idx, fc.horizon_h, {rounded('sp_zenith')}
+    FROM fc LEFT JOIN sun s ON {_AT_FORECAST}""",
+)
+def forecast_zenith(spark, sf_dir):
+    """For stored forecasts: the zenith of the forecast row by its index."""
+    seen = with_zenith(forecasts(spark, sf_dir), _placed(spark, sf_dir))
+    return tidy(seen.select("series_id", "time_idx", "horizon_h", "sp_zenith"))
+
+
 @query(
     "origin_zenith",
     f"""

@@ -50,12 +50,16 @@ def long_forecasts(
     methods: Mapping[str, Persistence | RecentMean],
     target: str = "pv",
     keep: Sequence[str] = (),
+    ahead: Sequence[str] = (),
     series: str = SERIES,
     ts: str = TS,
     idx: str = IDX,
 ) -> DataFrame:
     """One row per origin and horizon with a known truth; one column per method.
 
+    ``keep`` are columns of the origin row, ``ahead`` columns of the forecast row;
+    the latter come with the truth and save joining the forecasts back to the rows.
+
     The truths and each method's values are one short array per origin (a frame
     of ``horizon`` rows) that is then unrolled; that is far fewer window frames
     than one lead or lag per horizon.
@@ -64,12 +68,13 @@ def long_forecasts(
     if seasons and min(seasons) < horizon:
         raise ValueError(f"horizon {horizon} exceeds the season {min(seasons)}")
 
-    def values(w: WindowSpec, first: int, last: int) -> Column:
+    def values(w: WindowSpec, first: int, last: int, *more: str) -> Column:
         # structs, because collect_list drops NULLs and would shift the rest
-        return F.collect_list(F.struct(F.col(target).alias("v"))).over(w.rowsBetween(first, last))
+        row = F.struct(F.col(target).alias("v"), *more)
+        return F.collect_list(row).over(w.rowsBetween(first, last))
 
     def arrays(w: WindowSpec) -> dict[str, Column]:
-        made = {"_truth": values(w, 1, horizon)}
+        made = {"_truth": values(w, 1, horizon, *ahead)}
         for name, m in methods.items():
             if isinstance(m, Persistence):
                 made[f"_{name}"] = values(w, 1 - m.season, horizon - m.season)
@@ -98,6 +103,7 @@ def long_forecasts(
             forecast_time(F.col("origin_ts"), F.col("horizon_h")).alias("forecast_ts"),
             "horizon_h",
             *keep,
+            *[F.col(f"_y.{c}").alias(c) for c in ahead],
             F.col("_y.v").alias("y_true"),
             *[at_horizon(n, m) for n, m in methods.items()],
         )
