@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helio_spark.session import materialize
+
 BROADCAST_ROWS = 500_000
 SALTS = 64
 
@@ -22,13 +24,13 @@ def attach(
 ) -> DataFrame:
     """Join a narrow parameter table (per series, per slice) onto the rows.
 
-    ``small`` is computed once and counted. Up to ``broadcast_rows`` rows it is
+    ``small`` is stored once and counted. Up to ``broadcast_rows`` rows it is
     broadcast, so the rows do not move. Beyond that it is a shuffle join; with
     ``spread`` (any column that varies within a key) each key is cut into
     ``salts`` parts so that one hot key does not land in one task.
     """
     on = list(on)
-    small = small.persist()
+    small = materialize(small, "keyed")
     if small.count() <= broadcast_rows:
         return df.join(F.broadcast(small), on, how)
     if spread is None:

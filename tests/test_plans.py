@@ -111,3 +111,29 @@ def test_row_features_on_a_stream(spark, tmp_path):
     query.stop()
     got = spark.table("rows_out")
     assert got.count() == 72 and got.where("kc is null or sp_zenith is null").count() == 0
+
+
+def test_files_to_forecasts(spark, tmp_path):
+    """From CSV parts to scored forecasts, as in the README."""
+    from helio_spark.operators.history import add_targets
+    from helio_spark.sources.readers import read_measured, read_weather
+
+    measured, weather = _raw(spark)
+    measured.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Max kWp"), "pv").write.csv(
+        str(tmp_path / "pv"), header=True
+    )
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("dt_iso")
+    weather.drop("series_id").select(iso, "*").drop("ts").write.csv(str(tmp_path / "wx"), header=True)
+
+    table = build_features(
+        read_measured(spark, [str(tmp_path / "pv")], "UTC"),
+        read_weather(spark, [str(tmp_path / "wx")]),
+        lags=(1, 24),
+        widths=(3,),
+    )
+    assert table.count() == 400 - 24
+    rows = split_rows(add_targets(table, 2).na.drop())
+    features = ["pv", "ghi", "hour_sin", "hour_cos", "sp_zenith", "pv_lag24"]
+    models = fit_horizons(rows, features, range(1, 3), maxIter=3, maxDepth=3)
+    scored = predict_long(rows.where("split = 'test'"), models, features)
+    assert scored.where("y_pred is null").count() == 0 and scored.count() > 0
