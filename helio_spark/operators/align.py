@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helio_spark.functions.weather import standardize_names
 from helio_spark.operators.clean import alignable_columns
 from helio_spark.operators.joins import attach
-from helio_spark.operators.ordering import SERIES, TS, index_cells, range_slices
+from helio_spark.operators.ordering import IDX, SERIES, TS, index_cells, range_slices
 
 
 def align(
@@ -69,15 +69,12 @@ def align(
         "_slice",
         *[F.last(c, ignorenulls=True).over(earlier).alias(f"_in_{c}") for c in cols],
     )
-    carried = attach(kept, inherited, [series, "_slice"], "left").select(
-        series,
-        ts,
-        target,
-        "_slice",
-        "_pos",
-        *[F.coalesce(c, f"_in_{c}").alias(c) for c in cols],
+    # numbered before the join, so that counting the rows does not read it
+    numbered = index_cells(kept, F.col("_slice"), series, ("_pos",))
+    carried = [F.coalesce(c, f"_in_{c}").alias(c) for c in cols]
+    return attach(numbered, inherited, [series, "_slice"], "left").select(
+        series, ts, target, *carried, IDX
     )
-    return index_cells(carried, F.col("_slice"), series, ("_pos",)).drop("_slice", "_pos")
 
 
 def join_future_weather(history: DataFrame, future: DataFrame) -> DataFrame:

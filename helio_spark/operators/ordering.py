@@ -121,3 +121,23 @@ def reindex(df: DataFrame, old: str = IDX, series: str = SERIES, name: str = IDX
     kept = df.withColumnRenamed(old, "_old")
     cell = F.floor(F.col("_old") / CELL_ROWS)
     return index_cells(kept, cell, series, ("_old",), name).drop("_old")
+
+
+def index_blocks(
+    df: DataFrame, block: str, series: str = SERIES, idx: str = IDX
+) -> DataFrame:
+    """Renumber rows that a window has just grouped by ``(series, block)``.
+
+    The rank in the block needs no further exchange. The rows are stored with it,
+    so that wide rows are neither computed twice (for the counts) nor shuffled
+    again: the counts are read from two stored columns.
+    """
+    in_block = Window.partitionBy(series, block).orderBy(idx)
+    stored = materialize(df.withColumn("_rank", F.row_number().over(in_block)), "blocks")
+    counts = stored.groupBy(series, block).agg(F.max("_rank").alias("_n"))
+    offsets = counts.select(series, block, _before("_n", series, block).alias("_offset"))
+    return (
+        attach(stored, offsets, [series, block], "inner")
+        .withColumn(idx, F.col("_rank") - 1 + F.col("_offset"))
+        .drop(block, "_rank", "_offset")
+    )

@@ -30,11 +30,13 @@ def with_row_frames(
     series: str | Sequence[str] = SERIES,
     idx: str = IDX,
     block_rows: int | None = None,
+    keep_block: str | None = None,
 ) -> DataFrame:
     """Add the columns of ``build(window)``; ``window`` is ordered by ``idx``.
 
     ``back`` / ``fwd`` are the furthest rows any expression reads. ``series`` may
-    name several columns; ``idx`` must be dense within them.
+    name several columns; ``idx`` must be dense within them. ``keep_block`` names a
+    column for the block number, for a further window over the same blocks.
     """
     size = max(block_rows or BUFFER_ROWS - back - fwd, back, fwd)
     place = F.col(idx) % size
@@ -51,6 +53,8 @@ def with_row_frames(
     window = Window.partitionBy(*keys, "_block").orderBy(idx)
     made = build(window)
     kept = [F.col(c) for c in df.columns if c not in made]
+    if keep_block:
+        kept.append(F.col("_block").alias(keep_block))
     return (
         blocks.select(*kept, "_shift", *[c.alias(n) for n, c in made.items()])
         .where(F.col("_shift") == 0)

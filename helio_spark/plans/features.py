@@ -10,9 +10,9 @@ from helio_spark.functions.solar import add_clearness, add_clearsky, add_solar_p
 from helio_spark.functions.time import add_calendar_flags, add_cyclic
 from helio_spark.functions.weather import encode_weather_text, standardize_names
 from helio_spark.operators.align import align, join_future_weather
-from helio_spark.operators.clean import drop_incomplete
+from helio_spark.operators.clean import drop_and_reindex, drop_incomplete
 from helio_spark.operators.history import DEFAULT_LAGS, DEFAULT_ROLLS, add_history
-from helio_spark.operators.ordering import reindex
+from helio_spark.operators.ordering import index_blocks
 from helio_spark.session import materialize
 
 LAG_COLS = ("pv", "ghi", "dni", "dhi")
@@ -52,12 +52,12 @@ def engineer(
     rows = add_row_features(aligned, **row_features)
     lag_cols = [c for c in LAG_COLS if c in rows.columns] if lags else []
     roll_cols = [c for c in ROLL_COLS if c in rows.columns] if widths else []
-    if lag_cols or roll_cols:
-        rows = add_history(rows, lag_cols, roll_cols, lags, widths)
+    if not (lag_cols or roll_cols):
+        return drop_and_reindex(rows) if dropna else rows
     if not dropna:
-        return rows
-    # stored because numbering the kept rows reads them twice
-    return reindex(materialize(drop_incomplete(rows), "features"))
+        return add_history(rows, lag_cols, roll_cols, lags, widths)
+    framed = add_history(rows, lag_cols, roll_cols, lags, widths, keep_block="_block")
+    return index_blocks(drop_incomplete(framed), "_block")
 
 
 def build_features(

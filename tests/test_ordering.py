@@ -151,3 +151,17 @@ def test_align_without_overlap(spark):
     row = align(m, w).collect()
     assert len(row) == 1 and row[0].ghi is None
     assert align(m, w, keep_future=True).count() == 2
+
+
+def test_index_blocks_needs_no_second_exchange(spark):
+    from helio_spark.operators.history import add_lags
+    from helio_spark.operators.ordering import index_blocks
+    from helio_spark.session import materialize
+
+    df = _plain_index(_skewed(spark, 4000)).withColumn("pv", (F.col("event_id") % 9).cast("double"))
+    framed = add_lags(materialize(df, "test"), ["pv"], [5], block_rows=64, keep_block="_block").na.drop()
+    ranked = framed.withColumn("_r", F.row_number().over(Window.partitionBy("series_id", "_block").orderBy("time_idx")))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = index_blocks(framed, "_block").select("series_id", "ts", "event_id", "time_idx")
+    assert got.exceptAll(_plain_index(framed.select("series_id", "ts", "event_id"))).count() == 0
+    assert got.count() == framed.count()
