@@ -151,7 +151,7 @@ def random_weights(spark, sf_dir):
 
 _SUBSETS_SQL = f"""{_FC}, {_GRID},
     ss(subset_no, subset, num_models, d, w, m) AS (
-      VALUES (1, 'day+week', 2, 1, 1, 0), (2, 'day+mean', 2, 1, 0, 1), (3, 'week+mean', 2, 0, 1, 1),
+      VALUES (CAST(1 AS BIGINT), 'day+week', CAST(2 AS BIGINT), 1, 1, 0), (2, 'day+mean', 2, 1, 0, 1), (3, 'week+mean', 2, 0, 1, 1),
              (4, 'day+week+mean', 3, 1, 1, 1)),
     sg AS (SELECT * FROM ss, gw WHERE (d = 1 OR w_day = 0) AND (w = 1 OR w_week = 0)
                                   AND (m = 1 OR w_mean = 0)),

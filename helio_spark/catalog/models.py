@@ -19,6 +19,7 @@ from helio_spark.plans.search import (
     leaderboard,
     parameter_grid,
     remaining,
+    run_trials,
     walk_forward_scores,
 )
 from helio_spark.plans.training import feature_importance, fit_horizons, next_day, predict_long
@@ -80,11 +81,19 @@ def walk_forward_models(spark, sf_dir):
     return tidy(walk_forward_scores(_samples(spark, sf_dir), FEATURES, (1,), folds=2, **FAST))
 
 
+@query("trial_search")
+def trial_search(spark, sf_dir):
+    """A small grid over tree depth, with the improvement over a fixed score."""
+    rows = split_rows(_samples(spark, sf_dir))
+    trials = run_trials(rows, FEATURES, (1,), parameter_grid(spark, {"maxDepth": [2, 4]}), maxIter=3)
+    return tidy(leaderboard(trials, baseline=1.0))
+
+
 # fixed values: sample parameter grid
 GRID = {"hidden_size": [16, 32, 64], "dropout": [0.1, 0.2, 0.4], "batch_size": [32, 64]}
 _GRID_SQL = """
-    gr AS (SELECT row_number() OVER (ORDER BY a, b, c) AS run_id, [16, 32, 64][a] AS hidden_size,
-                  [0.1, 0.2, 0.4][b]::DOUBLE AS dropout, [32, 64][c] AS batch_size
+    gr AS (SELECT row_number() OVER (ORDER BY a, b, c) AS run_id, [16, 32, 64][a]::BIGINT AS hidden_size,
+                  [0.1, 0.2, 0.4][b]::DOUBLE AS dropout, [32, 64][c]::BIGINT AS batch_size
            FROM (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest([1, 2, 3]) AS b),
                 (SELECT unnest([1, 2]) AS c))"""
 # one trial per part

@@ -19,7 +19,7 @@ def attach(
     on: Sequence[str],
     how: str = "left",
     spread: Column | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a narrow parameter table (per series, per slice) onto the rows.
@@ -31,7 +31,8 @@ def attach(
     """
     on = list(on)
     small = materialize(small, "keyed")
-    if small.count() <= broadcast_rows:
+    limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    if small.count() <= limit:
         return df.join(F.broadcast(small), on, how)
     if spread is None:
         return df.join(small, on, how)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helio_spark.functions.scores import skill
+from helio_spark.functions.scores import mae, rmse, skill
 from helio_spark.operators.forecasts import horizon_metrics, naive_scale
 from helio_spark.operators.ordering import IDX, SERIES
 from helio_spark.operators.splits import TRAIN, VAL, walk_forward
@@ -45,6 +45,49 @@ def best_trial(trials: DataFrame, metric: str = "rmse", failed: str = "failed")
     return ok.agg(best.alias("_best")).select("_best.*")
 
 
+def run_trials(
+    rows: DataFrame,
+    features: Sequence[str],
+    horizons: Sequence[int],
+    grid: DataFrame,
+    done: DataFrame | None = None,
+    **fixed,
+) -> DataFrame:
+    """Fit each grid point on the train rows and score it on the val rows.
+
+    ``rows`` carries ``split``, targets and ``pv``. Points in ``done`` are skipped;
+    a point whose fit fails is recorded as ``failed``. The loop is over settings
+    (a small table); every fit and score is a Spark job over all rows.
+    """
+    params = [c for c in grid.columns if c != "run_id"]
+    todo = grid if done is None else remaining(grid, done, params)
+    scale = naive_scale(rows.where(F.col("split") == TRAIN).select(SERIES, IDX, "pv")).persist()
+    results = []
+    for point in todo.orderBy("run_id").collect():
+        setting = {p: point[p] for p in params}
+        try:
+            models = fit_horizons(rows, features, horizons, **fixed, **setting)
+            scored = predict_long(rows.where(F.col("split") == VAL), models, features)
+            best = (
+                scored.groupBy(SERIES, "horizon_h")
+                .agg(rmse("y_true", "y_pred").alias("rmse"), mae("y_true", "y_pred").alias("mae"))
+                .join(scale, SERIES, "left")
+                .agg(F.avg("rmse").alias("rmse"), F.avg(F.col("mae") / F.col("scale")).alias("mase"))
+                .first()
+            )
+            outcome = (best["rmse"], best["mase"], "ok")
+        except Exception:  # a failed setting must not end the search
+            outcome = (None, None, "failed")
+        results.append((point["run_id"], *setting.values(), *outcome))
+    scale.unpersist()
+    types = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
+    schema = ", ".join(
+        [f"run_id {types['run_id']}", *[f"{p} {types[p]}" for p in params]]
+        + ["rmse double", "mase double", "status string"]
+    )
+    return grid.sparkSession.createDataFrame(results, schema)
+
+
 def walk_forward_scores(
     df: DataFrame,
     features: Sequence[str],

@@ -31,22 +31,32 @@ def _rows(names: list[str], rows: list[tuple]) -> Counter:
     return Counter(tuple(r[i] for i in order) for r in rows)
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+}
+
+
 def difference(df, con, sql: str) -> str | None:
-    """None if equal, else what differs."""
+    """None if equal in names, types and rows, else what differs."""
+    want_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    got_types = {n: TYPES.get(t, t) for n, t in df.dtypes}
+    if got_types != want_types:
+        return f"types {got_types} != {want_types}"
     cur = con.execute(sql)
     want_names = [d[0] for d in cur.description]
     want = _rows(want_names, cur.fetchall())
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    if sorted(df.columns) != sorted(want_names):
-        return f"columns {sorted(df.columns)} != {sorted(want_names)}"
     if got != want:
         only_got, only_want = got - want, want - got
         return (
             f"{sum(got.values())} vs {sum(want.values())} rows, {sum(only_got.values())} differ\n"
             f"  spark {list(only_got)[:2]}\n  duck  {list(only_want)[:2]}"
         )
-    types = {type(v) for row in list(got)[:1] for v in row}
-    return None if types else "empty result"
+    return None if got else "empty result"
 
 
 def main() -> int:

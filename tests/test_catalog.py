@@ -8,7 +8,7 @@ import __spark_entry__ as contract
 from tests.compare import difference, duck
 
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
-NO_SQL = {"gbt_horizons", "feature_importance", "next_day_forecast", "walk_forward_models"}
+NO_SQL = {"gbt_horizons", "feature_importance", "next_day_forecast", "walk_forward_models", "trial_search"}
 
 
 @pytest.fixture(scope="module")

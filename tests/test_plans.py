@@ -8,7 +8,14 @@ from helio_spark.operators.history import target_columns
 from helio_spark.operators.row_frames import with_row_frames
 from helio_spark.operators.splits import split_rows
 from helio_spark.plans.features import build_features, build_scoring_features
-from helio_spark.plans.search import best_trial, leaderboard, parameter_grid, remaining, walk_forward_scores
+from helio_spark.plans.search import (
+    best_trial,
+    leaderboard,
+    parameter_grid,
+    remaining,
+    run_trials,
+    walk_forward_scores,
+)
 from helio_spark.plans.training import feature_importance, fit_horizons, next_day, predict_long
 from helio_spark.streaming.rows import stream_row_features
 
@@ -137,3 +144,23 @@ def test_files_to_forecasts(spark, tmp_path):
     models = fit_horizons(rows, features, range(1, 3), maxIter=3, maxDepth=3)
     scored = predict_long(rows.where("split = 'test'"), models, features)
     assert scored.where("y_pred is null").count() == 0 and scored.count() > 0
+
+
+def test_trials_skip_done_and_record_failures(spark, featured):
+    rows = split_rows(_samples(featured)).persist()
+    grid = parameter_grid(spark, {"maxDepth": [2, 3, -1]})
+    done = spark.createDataFrame([(3,)], "maxDepth int")
+    trials = run_trials(rows, FEATURES, [1], grid, done, maxIter=2)
+    got = {r.run_id: r for r in trials.collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "ok", 3: "failed"}
+    assert got[1].rmse > 0 and got[1].mase > 0 and got[3].rmse is None
+    assert best_trial(trials).first().run_id == 1
+
+
+def test_same_features_when_nothing_may_be_broadcast(spark, featured, monkeypatch):
+    from helio_spark.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    again = build_features(*_raw(spark))
+    tidy = lambda d: d.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in d.dtypes])
+    assert tidy(again).exceptAll(tidy(featured)).count() == 0 and again.count() == featured.count()
