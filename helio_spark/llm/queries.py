@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
+from helio_spark.llm.syncmers import fingerprints
 from helio_spark.llm.token_counts import token_counts
+from helio_spark.llm.warc import page_digest, read_warc, write_warc
+from helio_spark.session import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUERIES, SQL = {}, {}
@@ -69,3 +74,34 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS k FROM pages),
+o AS (SELECT k, max(page_id) AS owner FROM p GROUP BY k),
+bits AS (
+  SELECT page_id, k, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(string_split(sha1(html), ''),
+           lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), 'string_agg', '') AS b
+  FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INTEGER)
+           + 4 * CAST(substr(b, 5 * i + 3, 1) AS INTEGER) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INTEGER)
+           + CAST(substr(b, 5 * i + 5, 1) AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM bits JOIN o USING (k)"""
+
+
+@query("op3_syncmers")
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op10_warc", WARC_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), archive)
+    return page_digest(read_warc(spark, archive))
