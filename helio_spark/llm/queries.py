@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helio_spark.llm import language, quality, toxicity
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
+from helio_spark.llm.examples import fold, labelled_examples
 from helio_spark.llm.syncmers import fingerprints
 from helio_spark.llm.token_counts import token_counts
 from helio_spark.llm.warc import page_digest, read_warc, write_warc
@@ -105,3 +107,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), archive)
     return page_digest(read_warc(spark, archive))
+
+
+def _held_out(parts: int, rest: int):
+    return F.coalesce(fold("doc_id", parts) == rest, F.lit(False))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    examples = labelled_examples(
+        docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 4) != 2, quality.EXAMPLES
+    )
+    scored = quality.score_quality(docs.select("doc_id", "text"), quality.fit(examples))
+    return scored.select(
+        "doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    examples = labelled_examples(
+        docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 5) != 0, toxicity.EXAMPLES
+    )
+    scored = toxicity.score_toxicity(docs, toxicity.fit(examples))
+    return scored.select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "terms",
+    )
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, fold("doc_id", 3) != 1)
+    found = language.predict_language(docs, model)
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
