@@ -21,7 +21,9 @@ from helio_spark.llm.text import _BASE, _BYTE_VALUES, _INVERSE, Words, byte_clas
 
 #: Labelled examples, terms at most, least chi-squared, neighbours that vote, examples in a block.
 EXAMPLES, TERMS, LEAST, NEIGHBOURS, BLOCK = 8000, 512, 25.0, 15, 64
-OPENINGS = (4, 5)
+OPENINGS = (4, 5, 6, 7)
+#: Votes that the rate of texts without a term has in every score: few or far neighbours prove little.
+PRIOR = 3.0
 _NO_LETTER = byte_class(bytes(b for b in range(128) if not chr(b).isalpha()))
 
 
@@ -115,10 +117,9 @@ class Index:
         near = self.nearest(vector) if vector and len(self.label) else []
         if not near:
             return self.empty, []
-        weight = [1 / (1.02 - min(s, 1.0)) for s, _ in near]
-        votes = sum(w * self.label[i] for w, (_, i) in zip(weight, near))
+        votes = PRIOR * self.empty + sum(s * self.label[i] for s, i in near)
         top = [{"id": self.ids[i], "label": self.label[i], "similarity": float(s)} for s, i in near[:3]]
-        return float(min(max(votes / sum(weight), 0.0), 1.0)), top
+        return float(min(max(votes / (PRIOR + sum(s for s, _ in near)), 0.0), 1.0)), top
 
 
 def fit(examples: DataFrame, terms: int = TERMS, least: float = LEAST) -> Index:
@@ -151,7 +152,7 @@ def fit(examples: DataFrame, terms: int = TERMS, least: float = LEAST) -> Index:
         .mapInArrow(count, "term long, shown string, n long, bad double")
         .groupBy("term")
         .agg(F.min("shown").alias("shown"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        .where("n >= 4")
+        .where(F.col("n") >= max(4, n // 1000))
     )
     expected = F.col("n") * bad / max(n, 1)
     chi = n * (F.col("bad") - expected) ** 2 / (expected * (1 - F.col("n") / max(n, 1)) * (good or 1))
