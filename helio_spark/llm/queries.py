@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helio_spark.llm import language, quality, toxicity
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
 from helio_spark.llm.examples import fold, labelled_examples
+from helio_spark.llm.mixing import mix
 from helio_spark.llm.syncmers import fingerprints
 from helio_spark.llm.token_counts import token_counts
 from helio_spark.llm.warc import page_digest, read_warc, write_warc
@@ -144,3 +145,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs, fold("doc_id", 3) != 1)
     found = language.predict_language(docs, model)
     return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
