@@ -12,6 +12,7 @@ from helio_spark.llm import language, quality, toxicity
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
 from helio_spark.llm.examples import fold, labelled_examples
 from helio_spark.llm.mixing import mix
+from helio_spark.llm.ngram_join import near_duplicates
 from helio_spark.llm.syncmers import fingerprints
 from helio_spark.llm.token_counts import token_counts
 from helio_spark.llm.warc import page_digest, read_warc, write_warc
@@ -151,3 +152,34 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), weights=(1.0, 2.0, 3.0))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+SHINGLES_SQL = rf"""
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)),
+           lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS grams
+  FROM d WHERE len(w) > 0),
+g AS (SELECT r, len(grams) AS n, unnest(grams) AS gram FROM s)"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE {SHINGLES_SQL},
+u AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1),
+e AS (
+  SELECT a.r AS x, b.r AS y
+  FROM (SELECT * FROM g SEMI JOIN u USING (gram)) a JOIN (SELECT * FROM g SEMI JOIN u USING (gram)) b
+    ON a.gram = b.gram AND a.r <> b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(x, y) AS (
+  SELECT r, r FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x)
+SELECT d.doc_id, CAST(coalesce(len(s.grams), 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN s USING (r)
+JOIN (SELECT x AS r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.y GROUP BY x) c USING (r)"""
+
+
+@query("op7_ngram_join", NEAR_SQL)
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
