@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helio_spark.llm import language, quality, toxicity
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
 from helio_spark.llm.examples import fold, labelled_examples
+from helio_spark.llm.line_dedup import dedup_lines
 from helio_spark.llm.mixing import mix
 from helio_spark.llm.ngram_join import near_duplicates
 from helio_spark.llm.syncmers import fingerprints
@@ -183,3 +184,33 @@ JOIN (SELECT x AS r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r =
 @query("op7_ngram_join", NEAR_SQL)
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS no FROM d),
+w AS (SELECT doc_id, no, regexp_extract_all(lower(lines[no]), '[^\x20\x09-\x0D]+') AS w FROM l),
+s AS (
+  SELECT row_number() OVER (ORDER BY doc_id, no) AS r, doc_id, no,
+         list_distinct(list_transform(generate_series(1, len(w) - 4),
+           lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS t
+  FROM w WHERE len(w) >= 5),
+g AS (SELECT r, len(t) AS n, unnest(t) AS t FROM s),
+gone AS (
+  SELECT DISTINCT y AS r FROM (
+    SELECT a.r AS x, b.r AS y FROM g a JOIN g b ON a.t = b.t AND a.r < b.r
+    GROUP BY a.r, b.r, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*)))),
+out AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.r) AS n_removed,
+         string_agg(lines[l.no], chr(10) ORDER BY l.no) FILTER (WHERE gone.r IS NULL) AS text
+  FROM l LEFT JOIN s ON s.doc_id = l.doc_id AND s.no = l.no LEFT JOIN gone ON gone.r = s.r
+  GROUP BY l.doc_id)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, coalesce(text, '') AS text
+FROM out UNION ALL
+SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), "text")
