@@ -93,8 +93,8 @@ def _sketches(texts: list[str], k: int, s: int, size: int) -> list[np.ndarray]:
     ]
 
 
-def _shown(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def _bytes(sketch: np.ndarray) -> bytes:
+    return sketch.astype(">u4").tobytes()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
@@ -129,12 +129,12 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 _FIELDS = [
     ("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()),
-    ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()),
 ]
 _SCHEMA = (
-    "kind int, part int, id long, text string, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "kind int, part int, id long, text string, n_chars long, edited_sha256 binary, fingerprint binary, "
+    "edited_fingerprint binary, near_edited double, near_next double"
 )
 _INNER, _FIRST, _LAST = 0, 1, 2
 
@@ -151,8 +151,8 @@ def _compared(ids: list, texts: list[str], following: list[str], k: int, s: int,
     n = len(texts)
     return {
         "kind": [_INNER] * n, "part": [part] * n, "id": ids, "text": [None] * n, "n_chars": [len(t) for t in texts],
-        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-        "fingerprint": [_shown(x) for x in own], "edited_fingerprint": [_shown(x) for x in changed],
+        "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited],
+        "fingerprint": [_bytes(x) for x in own], "edited_fingerprint": [_bytes(x) for x in changed],
         "near_edited": [likeness(a, b, size) for a, b in zip(own, changed)],
         "near_next": [likeness(a, b, size) for a, b in zip(own, other)],
     }
@@ -218,6 +218,7 @@ def fingerprints(
 
     edges = edges.select("id", "text", "following").mapInArrow(finish, _SCHEMA)
     return stored.where(F.col("kind") == _INNER).unionByName(edges).select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.col("id").alias(id_col), "n_chars",
+        *[F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
         "near_edited", "near_next",
     )
