@@ -140,13 +140,51 @@ _UNIFORM = "CAST('0x' || substr(md5('42-' || t || '-{i}'), 1, 8) AS BIGINT) / 42
     f"""
     WITH {_FULL},
     u AS (SELECT t, {_UNIFORM.format(i=0)} AS a, {_UNIFORM.format(i=1)} AS b
-          FROM (SELECT unnest(generate_series(1, 50)) AS t)),
+          FROM (SELECT unnest(generate_series(1, 100)) AS t)),
     rw AS (SELECT t AS trial, a AS w_day, b * (1 - a) AS w_week, 1 - a - b * (1 - a) AS w_mean FROM u)
     SELECT trial, count(*) AS n, {rounded(*_WEIGHTS, _BLEND_RMSE + ' AS rmse')}
     FROM af CROSS JOIN rw GROUP BY trial, w_day, w_week, w_mean""",
 )
 def random_weights(spark, sf_dir):
-    return tidy(score_random_weights(_aligned(spark, sf_dir), MODELS, trials=50))
+    return tidy(score_random_weights(_aligned(spark, sf_dir), MODELS))
+
+
+@query(
+    "random_weights_mae",
+    f"""
+    WITH {_FULL},
+    u AS (SELECT t, {_UNIFORM.format(i=0)} AS a, {_UNIFORM.format(i=1)} AS b
+          FROM (SELECT unnest(generate_series(1, 100)) AS t)),
+    rw AS (SELECT t AS trial, a AS w_day, b * (1 - a) AS w_week, 1 - a - b * (1 - a) AS w_mean FROM u)
+    SELECT trial, count(*) AS n, {rounded(*_WEIGHTS, f'avg(abs(y_true - ({_BLEND}))) AS mae')}
+    FROM af CROSS JOIN rw GROUP BY trial, w_day, w_week, w_mean""",
+)
+def random_weights_mae(spark, sf_dir):
+    return tidy(score_random_weights(_aligned(spark, sf_dir), MODELS, metric="mae"))
+
+
+# rows whose truth is below this value count as not measured yet
+_UNSEEN = 0.02
+_SEEN = f"af2 AS (SELECT * FROM af WHERE y_true >= {_UNSEEN})"
+
+
+def _partly_measured(rows):
+    return rows.withColumn("y_true", F.when(F.col("y_true") >= _UNSEEN, F.col("y_true")))
+
+
+@query(
+    "weight_grid_unmeasured",
+    f"""
+    WITH {_FULL}, {_GRID}, {_SEEN}
+    SELECT {rounded(*_WEIGHTS, _BLEND_RMSE + ' AS rmse', f'avg(abs(y_true - ({_BLEND}))) AS mae')}, count(*) AS n
+    FROM af2 CROSS JOIN gw GROUP BY w_day, w_week, w_mean""",
+)
+def weight_grid_unmeasured(spark, sf_dir):
+    """Both metrics where some forecasts have no truth yet."""
+    rows = _partly_measured(_aligned(spark, sf_dir))
+    keys = ["w_day", "w_week", "w_mean", "n"]
+    rmse, mae = (score_weight_grid(rows, MODELS, metric=m).select(*[F.round(k, 6).alias(k) for k in keys], m) for m in ("rmse", "mae"))
+    return tidy(rmse.join(mae, keys))
 
 
 _SUBSETS_SQL = f"""{_FC}, {_GRID},

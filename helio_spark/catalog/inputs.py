@@ -17,7 +17,7 @@ from helio_spark.operators.splits import split_rows
 from helio_spark.session import use_utc
 
 HORIZON = 24
-BLEND_HORIZON = 6
+BLEND_HORIZON = 24
 MODELS = ("day", "week", "mean")
 
 # fixed values: one site per series

@@ -97,6 +97,10 @@ def future_weather_file(spark, sf_dir):
     return tidy(read_future_weather(spark, path))
 
 
+def _not_again():
+    raise RuntimeError("the stored table was not found again")
+
+
 @query(
     "processed_store",
     f"WITH {RAW_SQL} SELECT series_id, time_idx, ts, {rounded('pv')} FROM r WHERE series_id = 'click'",
@@ -105,7 +109,7 @@ def processed_store(spark, sf_dir):
     """Built and stored on the first read; then one site's folder is scanned."""
     path = _new_path(spark, "processed")
     read_or_build(spark, path, lambda: raw(spark, sf_dir).select("series_id", "time_idx", "ts", "pv"))
-    stored = read_or_build(spark, path, lambda: raw(spark, sf_dir).limit(0))
+    stored = read_or_build(spark, path, _not_again)
     return tidy(stored.where(F.col("series_id") == "click"))
 
 

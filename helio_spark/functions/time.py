@@ -56,6 +56,19 @@ def parse_utc_strict(text: Column) -> Column:
     return F.coalesce(parse_utc(text), F.raise_error(message).cast("timestamp"))
 
 
+def require_parsable(df: DataFrame, text: str, shown: int = 5) -> None:
+    """Raise with the first ``shown`` different values of ``text`` that are no time.
+
+    One pass over one column; the values are sorted, so the message does not depend
+    on which task comes first.
+    """
+    bad = df.select(F.col(text).cast("string").alias("t")).where(parse_utc(F.col("t")).isNull()).distinct()
+    found = [r.t for r in bad.orderBy(F.col("t").asc_nulls_last()).limit(shown + 1).collect()]
+    if found:
+        values = ", ".join("NULL" if t is None else t for t in found[:shown])
+        raise ValueError(f"unparsable timestamps: {values}{', ...' if len(found) > shown else ''}")
+
+
 def forecast_time(origin: Column, horizon_h: Column) -> Column:
     return F.timestamp_add("HOUR", horizon_h, origin)
 

@@ -9,12 +9,14 @@ gives E; every weight vector and model subset is then scored on that one row.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEIGHT_TOLERANCE = 1e-6
+MAX_MODELS = 1000
 
 
 def _pred(m: str) -> Column:
@@ -40,26 +42,49 @@ def blend(aligned: DataFrame, weights: Mapping[str, float], name: str = "y_pred"
     return aligned.withColumn(name, total)
 
 
-def blend_stacked(stacked: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+def weight_table(weights: DataFrame) -> dict[str, float]:
+    """A weight table (``model, weight``) as a mapping, by model name, checked.
+
+    At most ``MAX_MODELS`` rows, one for each model, that sum to 1.
+    """
+    rows = weights.select("model", "weight").orderBy("model").limit(MAX_MODELS + 1).collect()
+    table = {r.model: r.weight for r in rows}
+    if len(rows) > MAX_MODELS or len(table) < len(rows) or None in table or None in table.values():
+        raise ValueError(f"the weights need one row for each of at most {MAX_MODELS} models")
+    check_weights(table)
+    return table
+
+
+def blend_stacked(
+    stacked: DataFrame, weights: DataFrame, keys: Sequence[str], members: bool = False
+) -> DataFrame:
     """Blend ``model, y_pred`` rows with a weight table (``model, weight``).
 
-    The weight table has one row per model. A forecast that lacks a weighted
-    model fails the job instead of counting as zero.
+    A key that lacks a weighted model, or has one twice, fails the job; models
+    without a weight are passed over. The truth is that of the first model by name
+    that has one. ``members`` adds the forecast of each model as ``pred_{model}``.
     """
-    table = F.broadcast(weights)
-    models = weights.agg(F.count(F.lit(1))).scalar()
-    missing = F.raise_error(F.lit("a forecast lacks a weighted model")).cast("double")
-    return (
-        stacked.join(table, "model")
-        .groupBy(*keys)
-        .agg(
-            F.first("y_true", ignorenulls=True).alias("y_true"),
-            F.sum(F.col("weight") * F.col("y_pred")).alias("_sum"),
-            F.count("y_pred").alias("_n"),
-        )
-        .withColumn("y_pred", F.when(F.col("_n") == models, F.col("_sum")).otherwise(missing))
-        .drop("_sum", "_n")
+    table = weight_table(weights)
+    made = {m: F.when(F.col("model") == m, F.col("y_pred")) for m in table}
+    weighted = F.col("model").isin(list(table))
+    total = F.lit(0.0)
+    for m, w in table.items():
+        total = total + F.col(f"pred_{m}") * F.lit(float(w))
+    wrong = F.raise_error(F.lit("a forecast lacks a weighted model, or has one twice")).cast("double")
+    # aggregates of the whole key, so that one without any weighted model is seen
+    rows = stacked.groupBy(*keys).agg(
+        F.min_by("y_true", F.when(weighted & F.col("y_true").isNotNull(), F.col("model"))).alias("y_true"),
+        *[F.max(c).alias(f"pred_{m}") for m, c in made.items()],
+        *[F.count(c).alias(f"_n_{m}") for m, c in made.items()],
     )
+    once = reduce(lambda a, b: a & b, [F.col(f"_n_{m}") == 1 for m in table])
+    rows = rows.withColumn("y_pred", F.when(once, total).otherwise(wrong)).drop(*[f"_n_{m}" for m in table])
+    return rows if members else rows.drop(*[f"pred_{m}" for m in table])
+
+
+def _with_truth(rows: DataFrame) -> DataFrame:
+    """A forecast without a truth has no error: it is neither summed nor counted."""
+    return rows.where(F.col("y_true").isNotNull())
 
 
 def _units(m: str) -> str:
@@ -120,7 +145,7 @@ def error_products(
 ) -> DataFrame:
     """``n`` and the sums of error products of all model pairs, per ``by``."""
     err = {m: F.col("y_true") - _pred(m) for m in models}
-    return aligned.groupBy(*by).agg(
+    return _with_truth(aligned).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(err[a] * err[b]).alias(_gram(a, b)) for a, b in _pairs(models)],
     )
@@ -156,17 +181,22 @@ def score_weight_grid(
     if metric == "mae":
         # No algebra for absolute errors: each row meets each grid point, and is
         # folded into the point's partial mean in the same task.
-        rows = explode_weight_grid(
-            aligned.select(*by, "y_true", *[f"pred_{m}" for m in models]), models, steps
-        )
-        weights = [f"w_{m}" for m in models]
-        error = F.abs(F.col("y_true") - _blend_of_columns(models))
-        return rows.groupBy(*by, *weights).agg(
-            F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae")
-        )
+        rows = explode_weight_grid(_errors_of(aligned, models, by), models, steps)
+        return _mean_errors(rows, models, by)
     raise ValueError(f"metric {metric!r} is not supported, use rmse or mae")
 
 
+def _errors_of(aligned: DataFrame, models: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return _with_truth(aligned).select(*by, "y_true", *[f"pred_{m}" for m in models])
+
+
+def _mean_errors(rows: DataFrame, models: Sequence[str], by: Sequence[str]) -> DataFrame:
+    error = F.abs(F.col("y_true") - _blend_of_columns(models))
+    return rows.groupBy(*by, *[f"w_{m}" for m in models]).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae")
+    )
+
+
 def _blend_of_columns(models: Sequence[str]) -> Column:
     total = F.lit(0.0)
     for m in models:
@@ -180,7 +210,14 @@ def score_random_weights(
     trials: int = 100,
     seed: int = 42,
     by: Sequence[str] = (),
+    metric: str = "rmse",
 ) -> DataFrame:
+    """Score of ``trials`` random weight vectors, per ``by``."""
+    if metric == "mae":
+        rows = explode_random_weights(_errors_of(aligned, models, by), models, trials, seed)
+        return _mean_errors(rows, models, [*by, "trial"])
+    if metric != "rmse":
+        raise ValueError(f"metric {metric!r} is not supported, use rmse or mae")
     gram = error_products(aligned, models, by)
     scored = explode_random_weights(gram, models, trials, seed)
     return _drop_products(scored.withColumn("rmse", blend_rmse(models)), models)
@@ -253,7 +290,7 @@ def score_subsets(
         return _drop_products(scored.withColumn("rmse", blend_rmse(models)), models).drop("_need")
     if metric == "mae":
         rows = (
-            outer.withColumn("_have", present)
+            _with_truth(outer).withColumn("_have", present)
             .select("_have", "y_true", *[f"pred_{m}" for m in models], F.inline(chosen))
             .where(covered)
         )

@@ -130,7 +130,9 @@ def latest_origin(
     ``max_by`` keeps one row per series and task before the shuffle.
     """
     rest = [c for c in df.columns if c != series]
-    newest = F.max_by(F.struct(*rest), F.col(ts)).alias("_row")
+    # rows of one instant: the later position
+    order = F.struct(ts, IDX) if IDX in df.columns else F.col(ts)
+    newest = F.max_by(F.struct(*rest), order).alias("_row")
     return (
         df.where(F.col(target).isNotNull()).groupBy(series).agg(newest).select(series, "_row.*")
         .select(*df.columns)

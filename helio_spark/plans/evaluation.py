@@ -46,7 +46,7 @@ def choose_weights(
         if method == "grid":
             scored = score_weight_grid(aligned, models, steps, metric)
         elif method == "random":
-            scored, metric = score_random_weights(aligned, models, trials), "rmse"
+            scored = score_random_weights(aligned, models, trials, metric=metric)
         else:
             raise ValueError(f"unknown method {method!r}")
         best = best_weights(scored, models, metric).first()

@@ -13,7 +13,7 @@ from helio_spark.operators.align import align, join_future_weather
 from helio_spark.operators.clean import drop_and_reindex, drop_incomplete
 from helio_spark.operators.history import DEFAULT_LAGS, DEFAULT_ROLLS, add_history
 from helio_spark.operators.ordering import index_blocks
-from helio_spark.session import materialize
+from helio_spark.session import materialize, require_utc
 
 LAG_COLS = ("pv", "ghi", "dni", "dhi")
 ROLL_COLS = ("pv", "ghi", "dni")
@@ -64,6 +64,7 @@ def build_features(
     measured: DataFrame, weather: DataFrame, keep_future: bool = False, **options
 ) -> DataFrame:
     """Align two raw series and engineer all features."""
+    require_utc(measured.sparkSession)
     # stored because site coordinates are read from it before the features
     aligned = materialize(align(measured, weather, keep_future=keep_future), "aligned")
     return engineer(aligned, **options)

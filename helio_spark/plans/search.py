@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ def run_trials(
     """Fit each grid point on the train rows and score it on the val rows.
 
     ``rows`` carries ``split``, targets and ``pv``. Points in ``done`` are skipped;
-    a point whose fit fails is recorded as ``failed``. The loop is over settings
+    a point whose settings the learner refuses is recorded as ``failed`` with the
+    reason; any other error ends the search. The loop is over settings
     (a small table); every fit and score is a Spark job over all rows.
     """
     params = [c for c in grid.columns if c != "run_id"]
@@ -75,15 +77,15 @@ def run_trials(
                 .agg(F.avg("rmse").alias("rmse"), F.avg(F.col("mae") / F.col("scale")).alias("mase"))
                 .first()
             )
-            outcome = (best["rmse"], best["mase"], "ok")
-        except Exception:  # a failed setting must not end the search
-            outcome = (None, None, "failed")
+            outcome = (best["rmse"], best["mase"], "ok", None)
+        except (IllegalArgumentException, TypeError, ValueError) as error:
+            outcome = (None, None, "failed", str(error)[:500])
         results.append((point["run_id"], *setting.values(), *outcome))
     scale.unpersist()
     types = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
     schema = ", ".join(
         [f"run_id {types['run_id']}", *[f"{p} {types[p]}" for p in params]]
-        + ["rmse double", "mase double", "status string"]
+        + ["rmse double", "mase double", "status string", "reason string"]
     )
     return grid.sparkSession.createDataFrame(results, schema)
 

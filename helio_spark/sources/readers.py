@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helio_spark.functions.time import local_to_utc, parse_utc, parse_utc_strict
+from helio_spark.functions.time import local_to_utc, parse_utc, parse_utc_strict, require_parsable
 from helio_spark.functions.weather import coerce_numbers, standardize_names, to_number
 from helio_spark.operators.clean import dedupe_first
 from helio_spark.operators.ordering import SERIES, TS
+from helio_spark.session import require_utc
 
 FORECAST_SCHEMA = (
     "series_id string, time_idx long, origin_ts timestamp, forecast_ts timestamp, "
@@ -33,7 +34,9 @@ def _load(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
 
 
 def _numbered(df: DataFrame, part_no: int) -> DataFrame:
-    return df.withColumns({"part_no": F.lit(part_no), "row_no": F.monotonically_increasing_id()})
+    """Where a row stands: file, block, then the row within the block's task."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return df.withColumns({"part_no": F.lit(part_no), "row_no": place})
 
 
 def _series(df: DataFrame, series_id: str | Column) -> Column:
@@ -47,11 +50,13 @@ def read_measured(
 ) -> DataFrame:
     """``series_id, ts, pv`` from parts with (local time, value) as first columns.
 
+    Of copies of a time, the first stays: by part, then file name, then row.
+
     CSV parts start with one line of metadata, which is skipped. ``strict`` fails
     on an unparsable time; otherwise such rows are dropped (see
     ``split_unparsable`` to keep them aside).
     """
-    parse = parse_utc_strict if strict else parse_utc
+    require_utc(spark)
     parts = []
     for part_no, path in enumerate(paths):
         if format_of(path) == "csv":
@@ -59,11 +64,13 @@ def read_measured(
         else:
             raw = _load(spark, path)
             raw = raw.withColumnsRenamed(dict(zip(raw.columns[:2], ["local", "value"])))
+        if strict:
+            require_parsable(raw, "local")
         numbered = _numbered(raw, part_no)
         parts.append(
             numbered.select(
                 _series(numbered, series_id).alias(SERIES),
-                local_to_utc(parse(F.col("local").cast("string")), tz).alias(TS),
+                local_to_utc(parse_utc(F.col("local").cast("string")), tz).alias(TS),
                 to_number(F.col("value")).alias("pv"),
                 "part_no",
                 "row_no",
@@ -80,7 +87,7 @@ def time_column(columns: Sequence[str]) -> str:
 
 
 def _weather_part(
-    df: DataFrame, time: str, series_id: str | Column, parse: Callable[[Column], Column]
+    df: DataFrame, time: str, series_id: str | Column, parse: Callable[[Column], Column] = parse_utc
 ) -> DataFrame:
     keep = tuple(c for c in (SERIES, "part_no", "row_no") if c in df.columns)
     parsed = df.withColumns(
@@ -95,11 +102,14 @@ def read_weather(
     spark: SparkSession, paths: Sequence[str], series_id: str = "site_1", strict: bool = True
 ) -> DataFrame:
     """Weather parts with offset timestamps; every column but the text is numeric."""
-    parse = parse_utc_strict if strict else parse_utc
+    require_utc(spark)
     parts = []
     for part_no, path in enumerate(paths):
         raw = _load(spark, path)
-        parts.append(_weather_part(_numbered(raw, part_no), time_column(raw.columns), series_id, parse))
+        time = time_column(raw.columns)
+        if strict:
+            require_parsable(raw, f"`{time}`")
+        parts.append(_weather_part(_numbered(raw, part_no), time, series_id))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return dedupe_first(rows.where(F.col(TS).isNotNull())).drop("part_no", "row_no")
 
@@ -110,19 +120,16 @@ def read_future_weather(
     """Weather forecasts; the first column is the time. None without a path."""
     if not path:
         return None
+    require_utc(spark)
     raw = _load(spark, path)
     return standardize_names(_weather_part(raw, raw.columns[0], series_id, parse_utc_strict))
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the folder holds a finished Spark write or any file."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path).schema
-    except AnalysisException:
-        return False
-    return True
+    """Whether the folder holds a finished Spark write: its ``_SUCCESS`` marker is there."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
 def read_or_build(
@@ -144,7 +151,9 @@ def read_forecasts(spark: SparkSession, path: str | None, model: str) -> DataFra
         return None
     try:
         found = _load(spark, path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise  # a table that is there but cannot be read is no absent one
         return None
     absent = set(FORECAST_REQUIRED) - set(found.columns)
     if absent:

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from helio_spark.catalog import QUERIES, SQL
 from tests.compare import difference, duck
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
 NO_SQL = {"gbt_horizons", "feature_importance", "next_day_forecast", "walk_forward_models", "trial_search"}
 
 
@@ -25,6 +25,10 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert difference(QUERIES[name](spark, sf_dir), con, SQL[name]) is None
 
 
+def test_contract_registers_them():
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert "mase_model" in df.columns and df.count() > 0

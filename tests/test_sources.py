@@ -38,7 +38,7 @@ def test_measured_parts(spark, tmp_path):
 def test_measured_rejects_bad_times(spark, tmp_path):
     path = _csv(tmp_path / "a.csv", "head,\n2010-07-01 17:00:00,0.5\nnever,1\n")
     assert read_measured(spark, [path], "UTC", strict=False).count() == 1
-    with pytest.raises(Exception, match="unparsable timestamp: never"):
+    with pytest.raises(Exception, match="unparsable timestamps: never"):
         read_measured(spark, [path], "UTC").collect()
 
 

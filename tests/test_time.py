@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helio_spark.functions.time import (
+    require_parsable,
     add_calendar_flags,
     add_cyclic,
     local_to_utc,
@@ -74,8 +75,13 @@ def test_offsets_and_quarantine(spark):
         "2020-01-01 12:00:00",
     ]
     assert bad.count() == 2
-    with pytest.raises(Exception, match="unparsable timestamp: soon"):
+    with pytest.raises(Exception, match="unparsable timestamp: (soon|NULL)"):
         df.select(parse_utc_strict(F.col("t"))).collect()
+    many = spark.range(40).select(F.concat(F.lit("bad"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("t"))
+    for parts in (1, 7):  # the same message for any split of the rows
+        with pytest.raises(ValueError, match="bad00, bad01, bad02, bad03, bad04, [.]{3}$"):
+            require_parsable(many.repartition(parts), "t")
+    require_parsable(good, "t")
     assert df.select(parse_utc(F.col("t")).alias("x")).where("x is null").count() == 2
 
 
