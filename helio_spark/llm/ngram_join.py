@@ -6,8 +6,8 @@ class cannot be shared, so it fills its class's prefix without being sent on: a
 class of which over a quarter is unique is done. The rest meet on their prefix
 n-grams, under length and positional filters; a suffix filter and the full
 intersection decide once per pair. Links within a group of near copies that is
-already connected are not made: first every class is compared with the least
-class of each of its prefix n-grams, then only classes of different components.
+already connected are not made: first every class is compared with one class at
+each of its rarest shared n-grams, then only classes of different components.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from helio_spark.session import materialize
 N, SHARE, SHARE_OF = 5, 75, 100
 #: n-grams in a hash range; share of a slice's documents, and of slices, that make an n-gram frequent.
 RANGE_GRAMS, LOCAL, EVERYWHERE = 1_500_000, 0.05, 0.02
+#: n-grams of a class at which it meets one other class before all others of other components.
+FIRST = 12
 _LOW = np.uint64(2**48 - 1)
 _FREQUENT = 255
 
@@ -291,14 +293,16 @@ def links_and_components(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = materialize(grams, "shared-grams")
     own = F.col("n") - F.size("grams")
     postings = materialize(
-        grams.select("class", "n", own.alias("own"), F.posexplode(F.slice("grams", 1, F.col("prefix")))).select(
-            F.col("col").alias("gram"), F.col("class").alias("c"), "n", (F.col("own") + F.col("pos")).alias("i")
+        grams.select("class", "n", own.cast("int").alias("own"), F.posexplode(F.slice("grams", 1, F.col("prefix")))).select(
+            F.col("col").alias("gram"), F.col("class").alias("c"), "n", "own", (F.col("own") + F.col("pos")).alias("i")
         ),
         "postings",
     )
-    # every class with the least (n, class) of each of its prefix n-grams
-    lead = postings.groupBy("gram").agg(F.min(F.struct("n", "c", "i")).alias("lead"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    star = postings.join(lead, "gram").where(F.col("c") != F.col("lead.c"))
+    # every class with one class, drawn by hash, of each of its rarest shared n-grams: near relatives meet there
+    lead = postings.groupBy("gram").agg(
+        F.min(F.struct(F.xxhash64("gram", "c").alias("h"), "c", "n", "i")).alias("lead"), F.count(F.lit(1)).alias("df")
+    ).where("df > 1")
+    star = postings.where(F.col("i") < F.col("own") + FIRST).join(lead, "gram").where(F.col("c") != F.col("lead.c"))
     star = star.where(_possible(F.col("n"), F.col("lead.n"), F.col("i"), F.col("lead.i")))
     pairs = star.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct()
     links = materialize(_verified(pairs, grams), "links")
