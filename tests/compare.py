@@ -33,6 +33,7 @@ def _rows(names: list[str], rows: list[tuple]) -> Counter:
 
 TYPES = {
     "bigint": "BIGINT",
+    "int": "INTEGER",
     "double": "DOUBLE",
     "string": "VARCHAR",
     "timestamp_ntz": "TIMESTAMP",
