@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helio_spark.llm import language, quality, toxicity
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
 from helio_spark.llm.examples import fold, labelled_examples
+from helio_spark.llm.filter_audit import audit_filters
 from helio_spark.llm.line_dedup import dedup_lines
 from helio_spark.llm.mixing import mix
 from helio_spark.llm.ngram_join import near_duplicates
@@ -214,3 +215,52 @@ SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL"""
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return clean.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), "text")
+
+
+AUDIT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy
+  FROM documents),
+k AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good,
+         max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS bad
+  FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN copy THEN 16 ELSE 0 END AS fails
+  FROM d LEFT JOIN k USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (
+  SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order, [l1.b, l2.b, l3.b, l4.b, l5.b] AS b
+  FROM l l1 JOIN l l2 ON l2.x <> l1.x JOIN l l3 ON l3.x NOT IN (l1.x, l2.x)
+  JOIN l l4 ON l4.x NOT IN (l1.x, l2.x, l3.x) JOIN l l5 ON l5.x NOT IN (l1.x, l2.x, l3.x, l4.x)),
+s AS (
+  SELECT filter_order, i AS step, b[i] AS own, coalesce(list_sum(list_slice(b, 1, i - 1)), 0) AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM o)),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN fails & CAST(before + own AS INTEGER) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails & own > 0 AND fails & CAST(before AS INTEGER) = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN fails & own > 0 AND fails & CAST(before AS INTEGER) > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails & own > 0 AND fails & CAST(before AS INTEGER) = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN fails & own > 0 AND fails & CAST(before AS INTEGER) = 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
