@@ -12,9 +12,11 @@ from helio_spark.llm import language, quality, toxicity
 from helio_spark.llm.decontaminate import contamination_digest, find_contamination
 from helio_spark.llm.examples import fold, labelled_examples
 from helio_spark.llm.filter_audit import audit_filters
+from helio_spark.llm.hard_negatives import mine_hard_negatives
 from helio_spark.llm.line_dedup import dedup_lines
 from helio_spark.llm.mixing import mix
 from helio_spark.llm.ngram_join import near_duplicates
+from helio_spark.llm.phrase_dedup import remove_repeats
 from helio_spark.llm.syncmers import fingerprints
 from helio_spark.llm.token_counts import token_counts
 from helio_spark.llm.warc import page_digest, read_warc, write_warc
@@ -264,3 +266,42 @@ FROM r"""
 @query("op11_filter_audit", AUDIT_SQL)
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+a AS (SELECT row_number() OVER () AS k, * FROM r WHERE vec_id % 50 = 0),
+s AS (
+  SELECT k, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM a JOIN r ON a.vec_id <> r.vec_id),
+p AS (
+  SELECT k, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS i
+  FROM s WHERE same QUALIFY i <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.k, p.i ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.k = p.k AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+  QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_phrase_dedup")
+def op12_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
