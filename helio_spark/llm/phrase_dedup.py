@@ -50,11 +50,11 @@ class Sizes:
     """How the work is cut; results are the same for any."""
 
     phrase: int = 256  #: mean bytes of a phrase
-    piece: int = 1 << 20  #: bytes of text hashed at once
-    batch: int = 8 << 20  #: bytes of text in one row of batches
-    range: int = 32 << 20  #: bytes of text for whose anchors or runs there is one group
+    piece: int = 1 << 18  #: bytes of text hashed at once
+    batch: int = 4 << 20  #: bytes of text in one row of batches
+    range: int = 16 << 20  #: bytes of text for whose anchors or runs there is one group
     run: int = 64  #: strings of a run at most
-    sort: int = 1 << 20  #: strings sorted at once
+    sort: int = 1 << 18  #: strings sorted at once
     hot: int = 4096  #: an anchor of more runs has its strings sent one by one, by their own digest
 
 
