@@ -2,6 +2,7 @@
 
 from helio_spark.catalog import (  # noqa: F401  (importing registers the queries)
     blends,
+    boosted,
     cleaning,
     features,
     frames,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helio_spark.catalog.inputs import BLEND_HORIZON, MODELS, forecasts_sql, model_tables, rounded, tidy
+from helio_spark.catalog.inputs import BLEND_HORIZON, METHODS, MODELS, forecasts_sql, model_tables, raw, rounded, tidy
 from helio_spark.catalog.registry import query
 from helio_spark.operators.blending import (
     best_subset,
@@ -15,7 +15,8 @@ from helio_spark.operators.blending import (
     score_subsets,
     score_weight_grid,
 )
-from helio_spark.operators.forecasts import KEYS, align_forecasts, stack_models, with_fallback
+from helio_spark.operators.forecasts import KEYS, Persistence, RecentMean, align_forecasts, long_forecasts, stack_models, with_fallback
+from helio_spark.operators.optimum import optimal_weights
 from helio_spark.plans.evaluation import apply_weights, choose_weights, compare_members
 
 _FC = forecasts_sql(BLEND_HORIZON)
@@ -294,3 +295,100 @@ def stacked(spark, sf_dir):
             F.count(F.lit(1)).alias("n"), F.avg("y_pred").alias("mean_pred")
         )
     )
+
+
+# --- minima over the whole simplex ------------------------------------------
+
+PAIR = ("day", "mean")
+
+
+@query(
+    "optimal_weights",
+    f"""
+    WITH {_FC}, e AS (
+      SELECT horizon_h, count(*) AS n, avg((y_true - day) ** 2) AS a, avg((y_true - mean) ** 2) AS b,
+             avg((y_true - day) * (y_true - mean)) AS c
+      FROM fc WHERE day IS NOT NULL GROUP BY 1),
+    w AS (SELECT *, CASE WHEN a - 2 * c + b > 0 THEN least(greatest((b - c) / (a - 2 * c + b), 0), 1) ELSE 1 END AS x FROM e)
+    SELECT horizon_h, n, {rounded('x AS w_day', '1 - x AS w_mean', 'sqrt(x * x * a + 2 * x * (1 - x) * c + (1 - x) * (1 - x) * b) AS rmse')}
+    FROM w""",
+)
+def best_pair(spark, sf_dir):
+    """The pair of weights of least RMSE for each horizon, in closed form as SQL."""
+    wide = align_forecasts(stack_models(model_tables(spark, sf_dir)), PAIR)
+    return tidy(optimal_weights(wide, PAIR, by=["horizon_h"]).drop("gap"))
+
+
+@query(
+    "optimal_weights_mae",
+    f"""
+    WITH {_FC}, q AS (
+      SELECT horizon_h, y_true, day, mean, CASE WHEN day <> mean THEN (y_true - mean) / (day - mean) END AS r, abs(day - mean) AS k
+      FROM fc WHERE day IS NOT NULL),
+    c AS (
+      SELECT horizon_h, r, sum(k) OVER (PARTITION BY horizon_h ORDER BY r) AS upto, sum(k) OVER (PARTITION BY horizon_h) AS total
+      FROM q WHERE r IS NOT NULL),
+    x AS (SELECT horizon_h, least(greatest(min(r), 0), 1) AS x FROM c WHERE 2 * upto >= total GROUP BY 1)
+    SELECT horizon_h, count(*) AS n, {rounded('avg(abs(y_true - x * day - (1 - x) * mean)) AS mae')}, true AS proven
+    FROM q JOIN x USING (horizon_h) GROUP BY horizon_h""",
+)
+def best_pair_mae(spark, sf_dir):
+    """Least MAE for each horizon: the weighted median of the weights that fit a row, as SQL."""
+    wide = align_forecasts(stack_models(model_tables(spark, sf_dir)), PAIR)
+    found = optimal_weights(wide, PAIR, "mae", by=["horizon_h"], tolerance=1e-8)
+    return tidy(found.select("horizon_h", "n", "mae", (F.col("gap") <= 1e-6 * F.col("mae")).alias("proven")))
+
+
+# --- six models, every subset ------------------------------------------------
+
+SIX = ("day", "week", "mean", "two", "short", "long")
+SIX_STEPS = 6
+_SIX_METHODS = METHODS | {"two": Persistence(48), "short": RecentMean(6), "long": RecentMean(168)}
+_SIX_SQL = f"""{_FC},
+lm AS (
+  SELECT series_id, time_idx,
+         avg(pv) OVER (PARTITION BY series_id ORDER BY time_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS short,
+         avg(pv) OVER (PARTITION BY series_id ORDER BY time_idx ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS long
+  FROM r),
+f6 AS (
+  SELECT y_true, [day, week, mean, t.pv, short, long] AS p
+  FROM fc JOIN lm USING (series_id, time_idx)
+  LEFT JOIN r t ON t.series_id = fc.series_id AND t.time_idx = fc.time_idx + fc.horizon_h - 48),
+u AS (SELECT unnest(generate_series(0, {SIX_STEPS - 1})) AS u),
+pt AS (
+  SELECT [a.u, b.u, c.u, d.u, e.u, {SIX_STEPS - 1} - a.u - b.u - c.u - d.u - e.u] AS k
+  FROM u a, u b, u c, u d, u e WHERE a.u + b.u + c.u + d.u + e.u <= {SIX_STEPS - 1}),
+pw AS (SELECT k, list_transform(k, lambda x: x / {SIX_STEPS - 1}.0::DOUBLE) AS w FROM pt),
+sb AS (SELECT unnest(generate_series(1, 63)) AS need),
+s6 AS (SELECT need FROM sb WHERE bit_count(need) >= 2),
+hv AS (
+  SELECT y_true, list_transform(p, lambda x: coalesce(x, 0)) AS p,
+         list_sum([CASE WHEN p[i] IS NULL THEN 0 ELSE 1 << (i - 1) END for i in [1, 2, 3, 4, 5, 6]]) AS have
+  FROM f6),
+pp AS (
+  SELECT have, k, any_value(w) AS w, count(*) AS n,
+         sum(abs(y_true - (w[1] * p[1] + w[2] * p[2] + w[3] * p[3] + w[4] * p[4] + w[5] * p[5] + w[6] * p[6]))) AS s
+  FROM hv CROSS JOIN pw GROUP BY have, k),
+sc AS (
+  SELECT need, w, sum(n) AS n, sum(s) / sum(n) AS mae
+  FROM pp JOIN s6 ON CAST(have AS BIGINT) & need = need
+    AND list_sum([CASE WHEN k[i] = 0 THEN 0 ELSE 1 << (i - 1) END for i in [1, 2, 3, 4, 5, 6]]) & ~need = 0
+  GROUP BY need, w)"""
+_SUBSET_NAME = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN need & {1 << i} > 0 THEN '{m}' END" for i, m in enumerate(SIX)
+) + "], lambda x: x IS NOT NULL), '+')"
+
+
+@query(
+    "six_subsets_mae",
+    f"""
+    WITH {_SIX_SQL}
+    SELECT {_SUBSET_NAME} AS subset, CAST(bit_count(need) AS BIGINT) AS num_models, CAST(n AS BIGINT) AS n,
+           {rounded(*[f'w[{i + 1}] AS w_{m}' for i, m in enumerate(SIX)], 'mae')}
+    FROM sc""",
+)
+def six_subsets_mae(spark, sf_dir):
+    """57 subsets of six models at every grid point of theirs, by MAE, from one array of sums for each pattern."""
+    wide = long_forecasts(raw(spark, sf_dir), BLEND_HORIZON, _SIX_METHODS)
+    outer = wide.withColumnsRenamed({m: f"pred_{m}" for m in SIX})
+    return tidy(score_subsets(outer, SIX, steps=SIX_STEPS, metric="mae").drop("subset_no"))

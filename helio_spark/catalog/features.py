@@ -12,6 +12,7 @@ from helio_spark.catalog.inputs import (
     events,
     hourly_plain,
     rounded,
+    sites,
     tidy,
     weather,
     with_site,
@@ -20,6 +21,7 @@ from helio_spark.catalog.registry import query
 from helio_spark.functions.solar import (
     add_clearness,
     add_clearsky,
+    add_clearsky_by_site,
     add_solar_position,
     add_solar_weights,
     is_night,
@@ -155,6 +157,41 @@ def clearsky_ineichen(spark, sf_dir):
     return tidy(sky.select("event_id", "ts", "cs_ghi", "cs_dni", "cs_dhi"))
 
 
+# three altitudes; turbidity of its own for the first three series, 3 for the others
+ALTITUDES = {"click": 0.0, "error": 750.0, "purchase": 2400.0, "signup": None, "view": 750.0}
+_BY_SITE_SQL = f"""
+    places(series_id, alt, k) AS (VALUES {', '.join(f"('{s}', CAST({a or 0} AS DOUBLE), {i})" for i, (s, a) in enumerate(ALTITUDES.items()))}),
+    tm AS (SELECT k, tl, mo, CASE WHEN k < 3 THEN tl + 0.2 * k ELSE 3.0 END AS v FROM tu CROSS JOIN (SELECT DISTINCT k FROM places)),
+    dt AS (
+      SELECT *, month(ts) AS mo, day(last_day(ts)) AS len, day(CAST(date_trunc('month', ts) AS DATE) - 1) AS len0,
+             day(last_day(CAST(date_trunc('month', ts) AS DATE) + INTERVAL 1 MONTH)) AS len1,
+             (epoch_us(ts) - epoch_us(CAST(date_trunc('month', ts) AS TIMESTAMP))) / 86400000000.0::DOUBLE - day(last_day(ts)) / 2.0::DOUBLE AS p
+      FROM sun JOIN places USING (series_id)),
+    t AS (
+      SELECT dt.*, CASE WHEN p >= 0 THEN a.v * (1 - p / ((len + len1) / 2.0::DOUBLE)) + c.v * (p / ((len + len1) / 2.0::DOUBLE))
+                        ELSE a.v * (1 + p / ((len + len0) / 2.0::DOUBLE)) - b.v * (p / ((len + len0) / 2.0::DOUBLE)) END AS tl
+      FROM dt JOIN tm a ON a.k = dt.k AND a.mo = dt.mo JOIN tm b ON b.k = dt.k AND b.mo = (dt.mo + 10) % 12 + 1
+      JOIN tm c ON c.k = dt.k AND c.mo = dt.mo % 12 + 1)"""
+
+
+@query(
+    "clearsky_by_site",
+    f"""
+    WITH {_SITED_SQL}, {solar_sql('se')}, {_TURBIDITY_SQL}, {_BY_SITE_SQL},
+    {_INEICHEN_SQL.format(source='t').replace('-100 /', '-alt /').replace('* 100 +', '* alt +')}
+    SELECT event_id, ts, {rounded('cs_ghi', 'cs_dni', 'cs_dhi')} FROM cs""",
+)
+def clearsky_by_site(spark, sf_dir):
+    """Each series at its own altitude, with turbidity between the centres of the months."""
+    places = sites(spark).drop("tz")
+    high = spark.createDataFrame(list(ALTITUDES.items()), "series_id string, altitude double")
+    own = [(s, m, tl + 0.2 * k) for k, s in enumerate(list(ALTITUDES)[:3]) for m, tl in enumerate(TURBIDITY, start=1)]
+    monthly = spark.createDataFrame(own, "series_id string, month int, tl double")
+    rows = events(spark, sf_dir).select("event_id", "series_id", "ts")
+    sky = add_clearsky_by_site(rows, places.join(high, "series_id"), monthly)
+    return tidy(sky.select("event_id", "ts", "cs_ghi", "cs_dni", "cs_dhi"))
+
+
 # aerosol depth 0.1, water 1 cm (its logarithm is 0), altitude 100 m
 _SOLIS_SQL = """
     p AS (SELECT *, cos(radians(sp_zenith)) AS z,

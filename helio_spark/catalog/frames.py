@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from helio_spark.catalog.inputs import HOURLY_SQL, RAW_SQL, SPLIT_SQL, hourly, raw, rounded, tidy
+from helio_spark.catalog.inputs import HORIZON, HOURLY_SQL, RAW_SQL, SPLIT_SQL, hourly, raw, rounded, tidy
 from helio_spark.catalog.registry import query
 from helio_spark.operators.framing import (
     first_per_horizon,
@@ -24,6 +26,8 @@ from helio_spark.operators.history import (
     fill_future_covariates,
 )
 from helio_spark.operators.scaling import apply_scaler, fit_scaler, scale_target
+from helio_spark.session import shared_dir
+from helio_spark.sources.windows import read_windows, write_windows
 from helio_spark.operators.splits import head_share, split_rows, split_windows, walk_forward
 
 _ORDER = "PARTITION BY series_id ORDER BY time_idx"
@@ -105,154 +109,139 @@ def supervised_targets(spark, sf_dir):
     return tidy(add_targets(raw(spark, sf_dir).select(*_KEYS, "pv"), 24))
 
 
+_AHEAD = range(1, HORIZON + 1)
+
+
 @query(
     "future_covariates",
-    f"WITH {HOURLY_SQL} SELECT series_id, ts, time_idx, "
-    + rounded(
-        "ghi",
-        "temp",
-        *[_over(f"lead({c}, {h})", f"{c}_fut_h{h}") for c in ("ghi", "temp") for h in range(1, 7)],
-    )
-    + " FROM h",
+    f"WITH {RAW_SQL} SELECT series_id, ts, time_idx, "
+    + rounded("value", "pv", *[_over(f"lead({c}, {h})", f"{c}_fut_h{h}") for c in ("value", "pv") for h in _AHEAD])
+    + " FROM r",
 )
 def future_covariates(spark, sf_dir):
-    rows = hourly(spark, sf_dir).select(*_KEYS, "ghi", "temp")
-    return tidy(add_future_covariates(rows, ["ghi", "temp", "clouds"], 6))
+    rows = raw(spark, sf_dir).select(*_KEYS, "value", "pv")
+    return tidy(add_future_covariates(rows, ["value", "pv", "clouds"], HORIZON))
 
 
 @query(
     "covariate_fallback",
     f"""
-    WITH {HOURLY_SQL},
-    g AS (SELECT series_id, ts, time_idx, ghi, CASE WHEN n > 1 THEN temp END AS temp FROM h),
-    last AS (SELECT series_id, arg_max(ghi, time_idx) AS last_ghi,
-                    arg_max(temp, time_idx) FILTER (WHERE temp IS NOT NULL) AS last_temp
+    WITH {RAW_SQL},
+    g AS (SELECT series_id, ts, time_idx, value, CASE WHEN event_id % 3 > 0 THEN pv END AS pv FROM r),
+    last AS (SELECT series_id, arg_max(value, time_idx) AS last_value,
+                    arg_max(pv, time_idx) FILTER (WHERE pv IS NOT NULL) AS last_pv
              FROM g GROUP BY 1),
     f AS (SELECT *, """
-    + ", ".join(
-        _over(f"lead({c}, {h})", f"{c}_f{h}") for c in ("ghi", "temp") for h in range(1, 7)
-    )
+    + ", ".join(_over(f"lead({c}, {h})", f"{c}_f{h}") for c in ("value", "pv") for h in _AHEAD)
     + """ FROM g)
     SELECT series_id, ts, time_idx, """
-    + rounded(
-        "ghi",
-        "temp",
-        *[
-            f"coalesce({c}_f{h}, last_{c}) AS {c}_fut_h{h}"
-            for c in ("ghi", "temp")
-            for h in range(1, 7)
-        ],
-    )
+    + rounded("value", "pv", *[f"coalesce({c}_f{h}, last_{c}) AS {c}_fut_h{h}" for c in ("value", "pv") for h in _AHEAD])
     + " FROM f JOIN last USING (series_id)",
 )
 def covariate_fallback(spark, sf_dir):
-    rows = hourly(spark, sf_dir).select(
-        *_KEYS, "ghi", F.when(F.col("n") > 1, F.col("temp")).alias("temp")
-    )
-    ahead = add_future_covariates(rows, ["ghi", "temp"], 6)
-    return tidy(fill_future_covariates(ahead, ["ghi", "temp"], 6))
+    known = F.when(F.col("event_id") % 3 > 0, F.col("pv")).alias("pv")
+    rows = raw(spark, sf_dir).select(*_KEYS, "value", known)
+    ahead = add_future_covariates(rows, ["value", "pv"], HORIZON)
+    return tidy(fill_future_covariates(ahead, ["value", "pv"], HORIZON))
 
 
-_WINDOWS_SQL = f"""
-    WITH {HOURLY_SQL},
-    c AS (SELECT series_id, max(time_idx) + 1 AS rows_all FROM h GROUP BY 1),
-    o AS (SELECT h.series_id, h.ts AS origin_ts, h.time_idx
-          FROM h JOIN c USING (series_id)
-          WHERE h.time_idx >= {{back}} - 1 AND h.time_idx + {{ahead}} < c.rows_all)"""
+# windows of a week and a day; each of their values goes into a digest of its window
+SEQ_LEN = 168
+_BACK, _FORE = f"ROWS BETWEEN {SEQ_LEN - 1} PRECEDING AND CURRENT ROW", f"ROWS BETWEEN 1 FOLLOWING AND {HORIZON} FOLLOWING"
 
 
-@query(
-    "windows",
-    _WINDOWS_SQL.format(back=48, ahead=12)
-    + """
-    SELECT o.series_id, o.origin_ts, p.time_idx - o.time_idx AS step,
-           round(CAST(CAST(p.pv AS FLOAT) AS DOUBLE), 6) + 0.0 AS pv,
-           round(CAST(CAST(p.ghi AS FLOAT) AS DOUBLE), 6) + 0.0 AS ghi
-    FROM o JOIN h p ON p.series_id = o.series_id AND p.time_idx BETWEEN o.time_idx - 47 AND o.time_idx
-    UNION ALL
-    SELECT o.series_id, o.origin_ts, p.time_idx - o.time_idx,
-           round(CAST(CAST(p.pv AS FLOAT) AS DOUBLE), 6) + 0.0, NULL
-    FROM o JOIN h p ON p.series_id = o.series_id AND p.time_idx BETWEEN o.time_idx + 1 AND o.time_idx + 12
-    """,
-)
+def _digest(col: str, field: str | None = None):
+    """MD5 of the values in units of a millionth."""
+    values = F.col(col) if field is None else F.transform(F.col(col), lambda v: v[field])
+    units = F.transform(values, lambda v: F.floor(v.cast("double") * 1e6 + 0.5).cast("string"))
+    return F.md5(F.array_join(units, ","))
+
+
+def _digest_sql(col: str, window: str) -> str:
+    units = f"CAST(floor(CAST(CAST({col} AS FLOAT) AS DOUBLE) * 1e6 + 0.5) AS BIGINT)"
+    return f"md5(array_to_string(list({units}) OVER ({window}), ','))"
+
+
+def _windows_sql(columns: dict[str, tuple[str, str]], order: str = _ORDER, source: str = "r", more: str = "") -> str:
+    made = ", ".join(f"{_digest_sql(c, f'{order} {frame}')} AS {name}" for name, (c, frame) in columns.items())
+    return f"""
+    d AS (SELECT series_id{more}, ts AS origin_ts, time_idx, row_number() OVER ({order}) AS place,
+                 count(*) OVER ({order.split(' ORDER')[0]}) AS k, {made} FROM {source})
+    SELECT series_id{more}, origin_ts, time_idx, {', '.join(columns)} FROM d
+    WHERE place >= {SEQ_LEN} AND place + {HORIZON} <= k"""
+
+
+_PLAIN = {"x_pv": ("pv", _BACK), "x_value": ("value", _BACK), "y_pv": ("pv", _FORE)}
+
+
+def _plain_digests(made):
+    return tidy(made.select(
+        "series_id", "origin_ts", "time_idx", _digest("x", "pv").alias("x_pv"), _digest("x", "value").alias("x_value"), _digest("y").alias("y_pv")
+    ))
+
+
+@query("windows", f"WITH {RAW_SQL}, {_windows_sql(_PLAIN)}")
 def windows(spark, sf_dir):
-    """Windows flattened to one row per origin and step (step > 0: target)."""
-    made = make_windows(hourly(spark, sf_dir), ["pv", "ghi"], 48, 12)
-    past = made.select("series_id", "origin_ts", F.posexplode("x").alias("at", "v")).select(
-        "series_id", "origin_ts", (F.col("at") - 47).alias("step"), "v.pv", "v.ghi"
-    )
-    ahead = made.select("series_id", "origin_ts", F.posexplode("y").alias("at", "pv")).select(
-        "series_id", "origin_ts", (F.col("at") + 1).alias("step"), "pv", F.lit(None).cast("float").alias("ghi")
-    )
-    return tidy(past.unionByName(ahead))
+    """A window of 168 rows and 24 targets for every event that has them."""
+    return _plain_digests(make_windows(raw(spark, sf_dir), ["pv", "value"], SEQ_LEN, HORIZON))
 
 
-def _array_sum(col: str, field: str | None = None):
-    values = F.col(col) if field is None else F.transform(F.col(col), lambda v: v[field])
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+@query("window_store", f"WITH {RAW_SQL}, {_windows_sql(_PLAIN)}")
+def window_store(spark, sf_dir):
+    """The same windows, stored as blocks of rows with a halo and unrolled by the reader."""
+    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    write_windows(raw(spark, sf_dir), path, ["pv", "value"], SEQ_LEN, HORIZON)
+    return _plain_digests(read_windows(spark, path))
 
 
-def _sum32(col: str, lo: str, hi: str) -> str:
-    return f"sum(CAST(CAST({col} AS FLOAT) AS DOUBLE)) OVER ({_ORDER} ROWS BETWEEN {lo} AND {hi})"
+_FUSION = {
+    "past_pv": ("pv", _BACK), "past_value": ("value", _BACK), "past_user": ("user_id", _BACK),
+    "future_value": ("value", _FORE), "future_user": ("user_id", _FORE), "target": ("pv", _FORE),
+}
 
 
-@query(
-    "fusion_windows",
-    f"""
-    WITH {HOURLY_SQL},
-    s AS (SELECT series_id, ts AS origin_ts, time_idx, max(time_idx) OVER (PARTITION BY series_id) AS top,
-                 {_sum32('pv', '47 PRECEDING', 'CURRENT ROW')} AS a,
-                 {_sum32('ghi', '47 PRECEDING', 'CURRENT ROW')} AS b,
-                 {_sum32('ghi', '1 FOLLOWING', '12 FOLLOWING')} AS c,
-                 {_sum32('pv', '1 FOLLOWING', '12 FOLLOWING')} AS d
-          FROM h)
-    SELECT series_id, origin_ts, time_idx,
-           {rounded('a AS past_pv', 'b AS past_ghi', 'c AS future_ghi', 'd AS target', digits=4)}
-    FROM s WHERE time_idx >= 47 AND time_idx + 12 <= top""",
-)
+@query("fusion_windows", f"WITH {RAW_SQL}, {_windows_sql(_FUSION)}")
 def fusion_windows(spark, sf_dir):
-    """The three branches and the target, each folded to its sum."""
-    made = make_fusion_windows(hourly(spark, sf_dir), ["ghi", "temp"], 48, 12)
-    return tidy(
-        made.select(
-            "series_id",
-            "origin_ts",
-            "time_idx",
-            _array_sum("x_target").alias("past_pv"),
-            _array_sum("x_weather", "ghi").alias("past_ghi"),
-            _array_sum("x_future", "ghi").alias("future_ghi"),
-            _array_sum("y").alias("target"),
-        ),
-        digits=4,
-    )
+    """The three branches and the target."""
+    made = make_fusion_windows(raw(spark, sf_dir), ["value", "user_id"], SEQ_LEN, HORIZON)
+    return tidy(made.select(
+        "series_id", "origin_ts", "time_idx", _digest("x_target").alias("past_pv"), _digest("x_weather", "value").alias("past_value"),
+        _digest("x_weather", "user_id").alias("past_user"), _digest("x_future", "value").alias("future_value"),
+        _digest("x_future", "user_id").alias("future_user"), _digest("y").alias("target"),
+    ))
+
+
+_BY_SPLIT = "PARTITION BY series_id, split ORDER BY time_idx"
+_ENCODER = {
+    "encoder_value": ("value", _BACK), "encoder_user": ("user_id", _BACK), "encoder_pv": ("pv", _BACK),
+    "decoder_value": ("value", _FORE), "y_pv": ("pv", _FORE),
+}
+_ENCODER_SQL = f"WITH {RAW_SQL}, {SPLIT_SQL.format(t='r')}, {_windows_sql(_ENCODER, _BY_SPLIT, 'sp', ', split')}".replace(
+    "SELECT series_id, split, origin_ts, time_idx, enc", "SELECT series_id, split, time_idx, enc"
+)
 
 
-@query(
-    "encoder_samples",
-    f"""
-    WITH {HOURLY_SQL}, {SPLIT_SQL.format(t='h')},
-    e AS (SELECT series_id, split, time_idx,
-                 row_number() OVER w AS place, count(*) OVER (PARTITION BY series_id, split) AS k,
-                 sum(CAST(CAST(pv AS FLOAT) AS DOUBLE)) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS a,
-                 sum(CAST(CAST(ghi AS FLOAT) AS DOUBLE)) OVER (w ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS b
-          FROM sp WINDOW w AS (PARTITION BY series_id, split ORDER BY time_idx))
-    SELECT series_id, split, time_idx, {rounded('a AS encoder_pv', 'b AS decoder_ghi', digits=4)}
-    FROM e WHERE place >= 24 AND place + 6 <= k""",
-)
+def _encoder_digests(made, encoder, decoder):
+    return tidy(made.select(
+        "series_id", "split", "time_idx", _digest(encoder, "value").alias("encoder_value"), _digest(encoder, "user_id").alias("encoder_user"),
+        _digest(encoder, "pv").alias("encoder_pv"), _digest(decoder, "value").alias("decoder_value"), _digest("y").alias("y_pv"),
+    ))
+
+
+@query("encoder_samples", _ENCODER_SQL)
 def encoder_samples(spark, sf_dir):
-    made = make_encoder_samples(
-        split_rows(hourly(spark, sf_dir)), known=["ghi"], unknown=["temp"], seq_len=24, horizon=6
-    )
-    return tidy(
-        made.select(
-            "series_id",
-            "split",
-            "time_idx",
-            _array_sum("encoder", "pv").alias("encoder_pv"),
-            _array_sum("decoder", "ghi").alias("decoder_ghi"),
-        ),
-        digits=4,
-    )
+    rows = split_rows(raw(spark, sf_dir))
+    made = make_encoder_samples(rows, known=["value"], unknown=["user_id"], seq_len=SEQ_LEN, horizon=HORIZON)
+    return _encoder_digests(made, "encoder", "decoder")
+
+
+@query("encoder_store", _ENCODER_SQL)
+def encoder_store(spark, sf_dir):
+    """Encoder and decoder rows from stored blocks; a block lies within one split."""
+    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    rows = split_rows(raw(spark, sf_dir))
+    write_windows(rows, path, ["value", "user_id", "pv"], SEQ_LEN, HORIZON, ahead=["value"], keys=["series_id", "split"])
+    return _encoder_digests(read_windows(spark, path), "x", "x_ahead")
 
 
 @query(

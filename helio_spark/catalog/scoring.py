@@ -26,6 +26,7 @@ from helio_spark.operators.forecasts import (
     alignment_check,
     error_by_hour,
     extended_metrics,
+    fold_scales,
     horizon_metrics,
     long_forecasts,
     macro_metrics,
@@ -34,7 +35,7 @@ from helio_spark.operators.forecasts import (
     weak_horizons,
     with_zenith,
 )
-from helio_spark.operators.splits import TEST, TRAIN, VAL, series_length, split_rows, walk_forward
+from helio_spark.operators.splits import TEST, TRAIN, VAL, fold_segments, split_rows
 
 _RMSE = "sqrt(avg((y_true - {p}) ** 2))"
 _MAE = "avg(abs(y_true - {p}))"
@@ -217,20 +218,12 @@ def origin_zenith(spark, sf_dir):
 )
 def fold_metrics(spark, sf_dir):
     """Scores of each walk-forward block, scaled on that fold's train rows."""
-    rows = raw(spark, sf_dir).select("series_id", "time_idx", "pv")
-    lengths = series_length(rows)
-    train = walk_forward(rows, 5, lengths=lengths).where(F.col("role") == TRAIN)
-    scale = naive_scale(train, by=("series_id", "fold"))
-    blocks = walk_forward(forecasts(spark, sf_dir), 5, lengths=lengths)
-    return tidy(
-        horizon_metrics(
-            blocks.where(F.col("role") == VAL),
-            scale,
-            pred="mean",
-            naive="day",
-            by=("series_id", "fold", "horizon_h"),
-        )
-    )
+    rows = raw(spark, sf_dir).select("series_id", "time_idx", "ts", "pv")
+    placed = fold_segments(rows, 5)
+    blocks = long_forecasts(placed, HORIZON, METHODS, keep=["segment"]).where(F.col("segment") > 0)
+    by = ("series_id", "fold", "horizon_h")
+    scored = blocks.withColumnRenamed("segment", "fold")
+    return tidy(horizon_metrics(scored, fold_scales(placed, 5), pred="mean", naive="day", by=by).withColumn("fold", F.col("fold").cast("long")))
 
 
 @query(

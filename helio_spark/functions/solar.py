@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helio_spark.functions.weather import to_number
-from helio_spark.operators.joins import attach
+from helio_spark.operators.joins import attach, require_unique
 from helio_spark.operators.ordering import SERIES, TS
 
 PI = 3.141592653589793
@@ -109,14 +109,14 @@ def _haurwitz() -> list[dict[str, Column]]:
     return [{"_ghi": z * 1098.0 * F.exp(F.lit(-0.057) / z)}]
 
 
-def _ineichen(altitude: float, linke: Column) -> list[dict[str, Column]]:
+def _ineichen(altitude: Column, linke: Column) -> list[dict[str, Column]]:
     z, i0, am, ghi = map(F.col, ("_z", "_i0", "_am", "_ghi"))
-    fh1, fh2 = math.exp(-altitude / 8000), math.exp(-altitude / 1250)
-    cg1, cg2 = 5.09e-5 * altitude + 0.868, 3.92e-5 * altitude + 0.0387
-    beam = i0 * (0.664 + 0.163 / fh1) * F.exp(am * (linke - 1) * -0.09)
-    rest = F.lit(1.0) - (F.lit(0.1) - F.exp(-linke) * 0.2) / (0.1 + 0.882 / fh1)
+    fh1, fh2 = F.exp(altitude / -8000.0), F.exp(altitude / -1250.0)
+    cg1, cg2 = altitude * 5.09e-5 + 0.868, altitude * 3.92e-5 + 0.0387
+    beam = i0 * (F.lit(0.163) / fh1 + 0.664) * F.exp(am * (linke - 1) * -0.09)
+    rest = F.lit(1.0) - (F.lit(0.1) - F.exp(-linke) * 0.2) / (F.lit(0.882) / fh1 + 0.1)
     return [
-        {"_ghi": i0 * cg1 * z * F.exp(am * (F.lit(fh1) + (linke - 1) * fh2) * -cg2)},
+        {"_ghi": i0 * cg1 * z * F.exp(am * (fh1 + (linke - 1) * fh2) * -cg2)},
         {"_dni": F.least(beam, ghi * rest / z)},
         {"_dhi": ghi - F.col("_dni") * z},
     ]
@@ -129,12 +129,12 @@ def _polynomial(x: float, falling: Sequence[float]) -> float:
     return value
 
 
-def _simplified_solis(altitude: float, aod: float, water_cm: float) -> list[dict[str, Column]]:
+def _simplified_solis(altitude: Column, aod: float, water_cm: float) -> list[dict[str, Column]]:
     """``aod``: aerosol optical depth at 700 nm; ``water_cm``: precipitable water."""
     w = max(water_cm, 0.2)
     lw = math.log(w)
     # standard atmosphere: log of pressure relative to sea level
-    log_p = math.log(((44331.514 - altitude) / 11880.516) ** (1 / 0.1902632) / 1013.25)
+    log_p = F.log(F.pow((F.lit(44331.514) - altitude) / 11880.516, F.lit(1 / 0.1902632)) / 1013.25)
     # fixed values: fits of the model's enhanced irradiance, optical depths and exponents
     enhanced = _polynomial(aod, (0.12 * w**0.56, 0.97 * w**0.032, 1.08 * w**0.0051))
     beam_depth = _polynomial(
@@ -157,17 +157,17 @@ def _simplified_solis(altitude: float, aod: float, water_cm: float) -> list[dict
         diffuse_p = -0.71 * (1 + aod) ** -15.0
     b = (0.00925 * aod**2 + 0.0148 * aod - 0.0172) * lw - 0.7565 * aod**2 + 0.5057 * aod + 0.4557
     g = -0.0147 * lw - 0.3079 * aod**2 + 0.2846 * aod + 0.3798
-    d = -0.337 * aod**2 + 0.63 * aod + 0.116 + log_p / (18 + 152 * aod)
+    d = log_p / (18 + 152 * aod) + (-0.337 * aod**2 + 0.63 * aod + 0.116)
 
-    z, source = F.col("_z"), F.col("_i0") * (enhanced + log_p * 0.071)
-    tau_b = beam_depth + log_p * (0.0089 * w + 0.13)
-    tau_g = global_depth + log_p * (0.0079 * w + 0.1)
-    tau_d = diffuse_depth + log_p * diffuse_p
+    z, source = F.col("_z"), F.col("_i0") * (log_p * 0.071 + enhanced)
+    tau_b = log_p * (0.0089 * w + 0.13) + beam_depth
+    tau_g = log_p * (0.0079 * w + 0.1) + global_depth
+    tau_d = log_p * diffuse_p + diffuse_depth
     return [
         {
-            "_ghi": source * F.exp(F.lit(-tau_g) / F.pow(z, F.lit(g))) * z,
-            "_dni": source * F.exp(F.lit(-tau_b) / F.pow(z, F.lit(b))),
-            "_dhi": source * F.exp(F.lit(-tau_d) / F.pow(z, F.lit(d))),
+            "_ghi": source * F.exp(-tau_g / F.pow(z, F.lit(g))) * z,
+            "_dni": source * F.exp(-tau_b / F.pow(z, F.lit(b))),
+            "_dhi": source * F.exp(-tau_d / F.pow(z, d)),
         }
     ]
 
@@ -176,7 +176,7 @@ def with_clearsky(
     df: DataFrame,
     zenith: Column,
     turbidity: Column,
-    altitude: float = 0.0,
+    altitude: Column | float = 0.0,
     model: str = "ineichen",
     ts: str = TS,
     aod: float = 0.1,
@@ -186,6 +186,7 @@ def with_clearsky(
 
     ``haurwitz`` yields ``cs_ghi`` only; the others add ``cs_dni``, ``cs_dhi``.
     """
+    altitude = altitude if isinstance(altitude, Column) else F.lit(float(altitude))
     if model == "haurwitz":
         stages = _haurwitz()
     elif model == "ineichen":
@@ -253,7 +254,8 @@ def add_clearsky(
     had = "sp_zenith" in df.columns
     out = df if had else add_solar_position(df, lat, lon, ts)
     if isinstance(turbidity, DataFrame):
-        monthly = F.broadcast(turbidity.select(F.col("month").alias("_month"), F.col("tl").alias("_tl")))
+        require_unique(turbidity, ["month"], "the turbidity table")  # so at most twelve rows of months that occur
+        monthly = F.broadcast(turbidity.where("month BETWEEN 1 AND 12").select(F.col("month").alias("_month"), F.col("tl").alias("_tl")))
         out = out.join(monthly, F.month(ts) == F.col("_month"), "left")
     else:
         out = out.withColumns({"_month": F.lit(0), "_tl": F.lit(float(turbidity))})
@@ -262,6 +264,65 @@ def add_clearsky(
     return out if had else out.drop("sp_zenith", "sp_azimuth")
 
 
+def turbidity_at(months: Column, ts: Column) -> Column:
+    """The Linke value of ``ts`` on straight lines between the centres of the months.
+
+    ``months`` holds the values of January to December; the year closes on itself.
+    """
+    days, start = F.dayofmonth(F.last_day(ts)), F.trunc(ts, "month")
+    before, after = F.dayofmonth(F.date_sub(start, 1)), F.dayofmonth(F.last_day(F.add_months(start, 1)))
+    seconds = F.unix_micros(ts) - F.unix_micros(start.cast("timestamp"))
+    place = seconds / 86_400_000_000.0 - days / 2.0  # days from the centre of the month
+    month = F.month(ts)
+    at = lambda m: F.get(months, F.pmod(m - 1, F.lit(12)))
+    late = place / ((days + after) / 2.0)
+    early = -place / ((days + before) / 2.0)
+    return F.when(place >= 0, at(month) * (F.lit(1.0) - late) + at(month + 1) * late).otherwise(
+        at(month) * (F.lit(1.0) - early) + at(month - 1) * early
+    )
+
+
+def add_clearsky_by_site(
+    df: DataFrame,
+    sites: DataFrame,
+    turbidity: DataFrame | None = None,
+    model: str = "ineichen",
+    interpolate: bool = True,
+    default_turbidity: float = 3.0,
+    series: str = SERIES,
+    ts: str = TS,
+) -> DataFrame:
+    """Sun position and clear sky of each row at its own site.
+
+    ``sites``: (series, lat, lon, altitude in m), one row for each series, null altitudes are sea
+    level. ``turbidity``: (series, month, tl), a row for each month of a series that it names; on lines between
+    the centres of the months, or as steps. A series without turbidity has ``default_turbidity``, one
+    without a site has null results. Both tables become one row for each series, which is broadcast
+    if it is small and else joined by series with salted keys.
+    """
+    require_unique(sites, [series], "the site table")
+    known = sites.select(
+        series, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"),
+        F.coalesce(F.col("altitude").cast("double"), F.lit(0.0)).alias("_altitude"),
+    )
+    plain = F.array_repeat(F.lit(float(default_turbidity)), 12)
+    if turbidity is None:
+        known = known.withColumn("_months", plain)
+    else:
+        require_unique(turbidity, [series, "month"], "the turbidity table")
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("month", F.col("tl").cast("double").alias("tl")))), lambda x: x["tl"])
+        bad = F.raise_error(F.lit("turbidity needs the months 1 to 12 of each series it names")).cast("array<double>")
+        whole = (F.count(F.lit(1)) == 12) & (F.min("month") == 1) & (F.max("month") == 12) & (F.count("tl") == 12)
+        monthly = turbidity.groupBy(series).agg(F.when(whole, ordered).otherwise(bad).alias("_own"))
+        known = known.join(monthly, series, "left").withColumn("_months", F.coalesce("_own", plain)).drop("_own")
+    placed = attach(df, known, [series], "left", spread=F.col(ts))
+    linke = turbidity_at(F.col("_months"), F.col(ts)) if interpolate else F.get("_months", F.month(ts) - 1)
+    out = with_position(placed, F.col("_lat"), F.col("_lon"), ts).withColumn("_tl", linke)
+    return with_clearsky(out, F.col("sp_zenith"), F.col("_tl"), F.col("_altitude"), model, ts).drop(
+        "_lat", "_lon", "_altitude", "_months", "_tl"
+    )
+
+
 def clearness(ghi: Column, cs_ghi: Column) -> Column:
     """ghi / cs_ghi clipped to [0, 2]; NULL without clear-sky light or without ghi."""
     ratio = F.when((cs_ghi > 0) & ghi.isNotNull(), ghi / cs_ghi)

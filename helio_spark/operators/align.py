@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helio_spark.functions.weather import standardize_names
@@ -19,45 +21,69 @@ def align(
     series: str = SERIES,
     ts: str = TS,
     slices: int | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Each measured row with, per weather column, its last non-NULL value so far.
 
-    Both inputs are unique in ``(series, ts)`` (see ``dedupe_first``). Rows
-    without a measured value are dropped; ``keep_future`` keeps them, for
+    Rows without a measured value are dropped; ``keep_future`` keeps them, for
     scoring with weather forecasts. The result carries a dense ``time_idx``.
 
-    Both inputs are laid out together in even slices of (series, ts). The fill
-    runs inside a slice; what a slice inherits is the last value of the slices
-    before it, computed on one row per series and slice.
+    The result has one row for each (series, ts), whatever copies the inputs hold. Of
+    measured copies the first with a value counts. Of weather copies the first applies at their
+    time, and all of them fill later times. "First" is by ``order``, columns that either input may have
+    (such as part_no, row_no; null where it has none), then by the measured value.
+
+    Both inputs are laid out together in even slices of (series, ts); equal times lie in one
+    slice, so copies are found between neighbours. The fill runs inside a slice; what a
+    slice inherits is the last value of the slices before it, computed on one row per
+    series and slice.
     """
-    cols = [c for c in alignable_columns(weather) if c not in (series, ts, target)]
-    rows = (
-        measured.select(series, ts, F.col(target).cast("double").alias(target), F.lit(1).alias("_kind"))
-        .unionByName(
-            weather.select(series, ts, *cols, F.lit(0).alias("_kind")), allowMissingColumns=True
-        )
+    cols = [c for c in alignable_columns(weather) if c not in (series, ts, target, *order)]
+    ties = [f"_order{i}" for i in range(len(order))]
+
+    def ranked(df: DataFrame) -> list[Column]:
+        return [F.col(c).alias(t) for c, t in zip(order, ties) if c in df.columns]
+
+    value = F.col(target).cast("double")
+    rows = measured.select(
+        series, ts, value.alias(target), F.lit(1).alias("_kind"), value.isNull().alias("_empty"), *ranked(measured)
+    ).unionByName(
+        weather.select(series, ts, *cols, F.lit(0).alias("_kind"), F.lit(False).alias("_empty"), *ranked(weather)), allowMissingColumns=True
     )
-    # at equal times the weather row comes first, so it already applies
-    laid = range_slices(rows, series, (ts,), ties=("_kind",), slices=slices)
+    for t in ties:
+        if t not in rows.columns:
+            raise ValueError(f"neither input has the column {order[ties.index(t)]}")
+    # at equal times the weather rows come first
+    laid = range_slices(rows, series, (ts,), ties=("_kind", "_empty", *ties, target), slices=slices)
+    laid = laid.drop("_empty", *ties)
+    by_pos = Window.partitionBy(series, "_slice").orderBy("_pos")
+
+    def like_last(w, kind: Column) -> Column:
+        return F.coalesce((F.lag(ts).over(w) == F.col(ts)) & (F.lag("_kind").over(w) == kind), F.lit(False))
 
-    in_slice = Window.partitionBy(series, "_slice").orderBy("_pos")
+    # further weather rows of a time come after its measured row: they fill later times only
+    copy = like_last(by_pos, F.col("_kind"))
+    flagged = laid.withColumn("_copy", copy).withColumn("_place", F.when(F.col("_copy") & (F.col("_kind") == 0), 2).otherwise(F.col("_kind")))
+    in_slice = Window.partitionBy(series, "_slice").orderBy(ts, "_place", "_pos")
     so_far = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = laid.select(
+    filled = flagged.select(
         series,
         ts,
         target,
         "_kind",
+        "_copy",
         "_slice",
         "_pos",
         *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in cols],
-        *([F.lead(ts).over(in_slice).alias("_next")] if keep_future else []),
-    )
+        *([F.lead(F.struct(F.col(ts).alias("t"), F.col("_place").alias("p"))).over(in_slice).alias("_next")] if keep_future else []),
+    ).where(~F.col("_copy"))
     if keep_future:
-        twin_follows = (F.col("_kind") == 0) & F.col("_next").eqNullSafe(F.col(ts))
-        kept = filled.where(~twin_follows).drop("_next")
+        twin_follows = (F.col("_kind") == 0) & F.coalesce((F.col("_next.t") == F.col(ts)) & (F.col("_next.p") == 1), F.lit(False))
+        kept = filled.where(~twin_follows).drop("_next", "_copy")
     else:
-        kept = filled.where(F.col(target).isNotNull())
+        kept = filled.where(F.col(target).isNotNull()).drop("_copy")
 
+    # the copies of a time keep their order, so the last value of a slice is the last by position
     last_in_slice = laid.groupBy(series, "_slice").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(c) for c in cols]
     )

@@ -8,19 +8,27 @@ gives E; every weight vector and model subset is then scored on that one row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WEIGHT_TOLERANCE = 1e-6
 MAX_MODELS = 1000
+#: Rows of a block that meet all grid points, and sums that a task holds.
+BLOCK, HELD = 1024, 4_000_000
 
 
 def _pred(m: str) -> Column:
-    return F.col(f"pred_{m}")
+    return F.col(f"`pred_{m}`")
+
+
+def _weight(m: str) -> Column:
+    return F.col(f"`w_{m}`")
 
 
 def check_weights(weights: Mapping[str, float]) -> None:
@@ -69,7 +77,7 @@ def blend_stacked(
     weighted = F.col("model").isin(list(table))
     total = F.lit(0.0)
     for m, w in table.items():
-        total = total + F.col(f"pred_{m}") * F.lit(float(w))
+        total = total + _pred(m) * F.lit(float(w))
     wrong = F.raise_error(F.lit("a forecast lacks a weighted model, or has one twice")).cast("double")
     # aggregates of the whole key, so that one without any weighted model is seen
     rows = stacked.groupBy(*keys).agg(
@@ -77,7 +85,7 @@ def blend_stacked(
         *[F.max(c).alias(f"pred_{m}") for m, c in made.items()],
         *[F.count(c).alias(f"_n_{m}") for m, c in made.items()],
     )
-    once = reduce(lambda a, b: a & b, [F.col(f"_n_{m}") == 1 for m in table])
+    once = reduce(lambda a, b: a & b, [F.col(f"`_n_{m}`") == 1 for m in table])
     rows = rows.withColumn("y_pred", F.when(once, total).otherwise(wrong)).drop(*[f"_n_{m}" for m in table])
     return rows if members else rows.drop(*[f"pred_{m}" for m in table])
 
@@ -105,11 +113,11 @@ def explode_weight_grid(
     for m in models[:-1]:
         upper = left if member is None else F.when(member[m], left).otherwise(F.lit(0))
         df = df.withColumn(_units(m), F.explode(F.sequence(F.lit(0), upper)))
-        left = left - F.col(_units(m))
+        left = left - F.col(f"`{_units(m)}`")
     df = df.withColumn(_units(models[-1]), left)
     if member is not None:
-        df = df.where((F.col(_units(models[-1])) == 0) | member[models[-1]])
-    weights = {f"w_{m}": F.col(_units(m)) / F.lit(float(top)) for m in models}
+        df = df.where((F.col(f"`{_units(models[-1])}`") == 0) | member[models[-1]])
+    weights = {f"w_{m}": F.col(f"`{_units(m)}`") / F.lit(float(top)) for m in models}
     return df.withColumns(weights).drop(*[_units(m) for m in models])
 
 
@@ -128,7 +136,7 @@ def explode_random_weights(
         digest = F.md5(F.concat(F.lit(f"{seed}-"), F.col("trial").cast("string"), F.lit(f"-{i}")))
         uniform = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
         df = df.withColumn(f"w_{m}", uniform * left)
-        left = left - F.col(f"w_{m}")
+        left = left - _weight(m)
     return df.withColumn(f"w_{models[-1]}", left)
 
 
@@ -161,8 +169,8 @@ def blend_rmse(models: Sequence[str]) -> Column:
     for a, b in _pairs(models):
         twice = 1.0 if a == b else 2.0
         # a pair with a zero weight adds nothing, even if never forecast together
-        part = F.col(f"w_{a}") * F.col(f"w_{b}") * F.col(_gram(a, b)) * twice
-        total = total + F.when((F.col(f"w_{a}") != 0) & (F.col(f"w_{b}") != 0), part).otherwise(0.0)
+        part = _weight(a) * _weight(b) * F.col(f"`{_gram(a, b)}`") * twice
+        total = total + F.when((_weight(a) != 0) & (_weight(b) != 0), part).otherwise(0.0)
     return F.sqrt(F.greatest(total, F.lit(0.0)) / F.col("n"))
 
 
@@ -179,29 +187,102 @@ def score_weight_grid(
         scored = explode_weight_grid(gram, models, steps).withColumn("rmse", blend_rmse(models))
         return _drop_products(scored, models)
     if metric == "mae":
-        # No algebra for absolute errors: each row meets each grid point, and is
-        # folded into the point's partial mean in the same task.
-        rows = explode_weight_grid(_errors_of(aligned, models, by), models, steps)
-        return _mean_errors(rows, models, by)
+        return _mean_abs_errors(aligned, models, simplex_points(len(models), steps), by).drop("_point")
     raise ValueError(f"metric {metric!r} is not supported, use rmse or mae")
 
 
-def _errors_of(aligned: DataFrame, models: Sequence[str], by: Sequence[str]) -> DataFrame:
-    return _with_truth(aligned).select(*by, "y_true", *[f"pred_{m}" for m in models])
+def simplex_points(models: int, steps: int) -> np.ndarray:
+    """The points of ``explode_weight_grid`` as rows, in its order."""
+    top = steps - 1
+    units = [()]
+    for _ in range(models - 1):
+        units = [(*u, k) for u in units for k in range(top - sum(u) + 1)]
+    return np.array([(*u, top - sum(u)) for u in units], np.float64) / top
 
 
-def _mean_errors(rows: DataFrame, models: Sequence[str], by: Sequence[str]) -> DataFrame:
-    error = F.abs(F.col("y_true") - _blend_of_columns(models))
-    return rows.groupBy(*by, *[f"w_{m}" for m in models]).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae")
-    )
+def _patterns(models: Sequence[str]) -> Column:
+    """One bit for each model that made a forecast."""
+    have = F.lit(0)
+    for i, m in enumerate(models):
+        have = have + F.when(_pred(m).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    return have
 
 
-def _blend_of_columns(models: Sequence[str]) -> Column:
-    total = F.lit(0.0)
-    for m in models:
-        total = total + F.col(f"w_{m}") * _pred(m)
-    return total
+def abs_error_sums(
+    rows: DataFrame, models: Sequence[str], points: np.ndarray, by: Sequence[str] = ()
+) -> DataFrame:
+    """``by``, ``_have``, ``_point``, ``_n``, ``_sum``: summed absolute errors of blends at ``points``.
+
+    Absolute errors have no algebra, but rows are not repeated either: a task adds
+    the errors of a block of rows at all points to one array for each ``by`` and
+    presence pattern, by matrix products, and only the arrays are shuffled. A
+    pattern has the points that give its absent models no weight.
+    """
+    names = [f"_by{i}" for i in range(len(by))]
+    need = (points != 0) @ (1 << np.arange(len(models)))
+    flat = _with_truth(rows).select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)], _patterns(models).alias("_have"),
+        F.col("y_true").cast("double").alias("_y"), *[_pred(m).cast("double").alias(f"_p{i}") for i, m in enumerate(models)],
+    )
+    width = len(by) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in held], flat_types[i]) for i in range(width)]
+            sums = pa.array([v[1] for v in held.values()], pa.list_(pa.float64()))
+            n = pa.array([v[0] for v in held.values()], pa.int64())
+            return pa.RecordBatch.from_arrays([*keys, n, sums], [*names, "_have", "_n", "_sums"])
+
+        flat_types = None
+        for batch in batches:
+            flat_types = [c.type for c in batch.columns[:width]]
+            y = batch.column(width).to_numpy()
+            # an absent model has no weight where the sum counts
+            p = np.stack([c.fill_null(0.0).to_numpy() for c in batch.columns[width + 1 :]], axis=1)
+            code = np.zeros(len(y), np.int64)
+            for column in batch.columns[:width]:
+                encoded = column.dictionary_encode(null_encoding="encode")
+                code = code * len(encoded.dictionary) + encoded.indices.to_numpy()
+            _, first, group = np.unique(code, return_index=True, return_inverse=True)
+            for g, at in enumerate(first):
+                key = tuple(c[int(at)].as_py() for c in batch.columns[:width])
+                fits = np.flatnonzero((need & ~np.int64(key[-1])) == 0)
+                mine = np.flatnonzero(group == g)
+                if key not in held:
+                    held[key] = [0, np.zeros(len(points))]
+                held[key][0] += len(mine)
+                for a in range(0, len(mine), BLOCK):
+                    block = mine[a : a + BLOCK]
+                    held[key][1][fits] += np.abs(y[block, None] - p[block] @ points[fits].T).sum(axis=0)
+                if len(held) * len(points) > HELD:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields[:width]]
+    found = flat.mapInArrow(run, ", ".join([*kinds, "_n long", "_sums array<double>"]))
+    needs = F.array(*[F.lit(int(x)) for x in need])
+    return (
+        found.select(*[F.col(n).alias(c) for n, c in zip(names, by)], "_have", "_n", F.posexplode("_sums").alias("_point", "_s"))
+        .where(F.get(needs, F.col("_point")).bitwiseAND(F.bitwise_not(F.col("_have"))) == 0)
+        .groupBy(*by, "_have", "_point").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_sum"))
+    )
+
+
+def _with_points(sums: DataFrame, models: Sequence[str], points: np.ndarray) -> DataFrame:
+    """``w_{model}`` of each ``_point``; the points are a parameter, not data."""
+    columns = {f"w_{m}": F.get(F.array(*[F.lit(float(x)) for x in points[:, i]]), F.col("_point")) for i, m in enumerate(models)}
+    return sums.withColumns(columns)
+
+
+def _mean_abs_errors(aligned: DataFrame, models: Sequence[str], points: np.ndarray, by: Sequence[str]) -> DataFrame:
+    """Rows that lack a model have no blend and are not counted."""
+    sums = abs_error_sums(aligned.where(_patterns(models) == (1 << len(models)) - 1), models, points, by)
+    found = _with_points(sums, models, points).withColumn("mae", F.col("_sum") / F.col("_n"))
+    return found.select(*by, "_point", *map(_weight, models), F.col("_n").alias("n"), "mae")
 
 
 def score_random_weights(
@@ -214,8 +295,10 @@ def score_random_weights(
 ) -> DataFrame:
     """Score of ``trials`` random weight vectors, per ``by``."""
     if metric == "mae":
-        rows = explode_random_weights(_errors_of(aligned, models, by), models, trials, seed)
-        return _mean_errors(rows, models, [*by, "trial"])
+        drawn = explode_random_weights(aligned.sparkSession.range(1).drop("id"), models, trials, seed)
+        points = np.array([tuple(r)[1:] for r in drawn.orderBy("trial").collect()])  # ``trials`` rows
+        found = _mean_abs_errors(aligned, models, points, by)
+        return found.withColumn("trial", F.col("_point") + 1).drop("_point")
     if metric != "rmse":
         raise ValueError(f"metric {metric!r} is not supported, use rmse or mae")
     gram = error_products(aligned, models, by)
@@ -232,9 +315,9 @@ def best_weights(
     scored: DataFrame, models: Sequence[str], metric: str = "rmse", by: Sequence[str] = ()
 ) -> DataFrame:
     """The lowest score per ``by``; among equals the first in grid order."""
-    weights = [f"w_{m}" for m in models]
+    weights = [_weight(m) for m in models]
     rest = [c for c in scored.columns if c not in by]
-    best = F.min_by(F.struct(*rest), F.struct(_comparable(metric), *weights)).alias("_best")
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(_comparable(metric), *weights)).alias("_best")
     return scored.groupBy(*by).agg(best).select(*by, "_best.*")
 
 
@@ -257,7 +340,7 @@ def score_subsets(
 
     ``outer`` keeps absent models as NULL. For RMSE the forecasts are summed once
     per presence pattern (at most 2^models groups); a subset adds up the patterns
-    that contain it.
+    that contain it. For MAE the same holds of the summed errors at each grid point.
     """
     bits = {m: 1 << i for i, m in enumerate(models)}
     chosen = F.array(
@@ -271,44 +354,40 @@ def score_subsets(
             for i, s in enumerate(subsets(models, smallest, largest), start=1)
         ]
     )
-    present = F.lit(0)
-    for m in models:
-        present = present + F.when(_pred(m).isNotNull(), F.lit(bits[m])).otherwise(F.lit(0))
     covered = F.col("_have").bitwiseAND(F.col("_need")) == F.col("_need")
     member = {m: F.col("_need").bitwiseAND(F.lit(b)) != 0 for m, b in bits.items()}
     label = ["subset_no", "subset", "num_models", "_need"]
     if metric == "rmse":
-        patterns = error_products(outer.withColumn("_have", present), models, ["_have"])
+        patterns = error_products(outer.withColumn("_have", _patterns(models)), models, ["_have"])
         sums = [_gram(a, b) for a, b in _pairs(models)]
         gram = (
             patterns.select("*", F.inline(chosen))
             .where(covered)
             .groupBy(*label)
-            .agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in sums])
+            .agg(F.sum("n").alias("n"), *[F.sum(f"`{s}`").alias(s) for s in sums])
         )
         scored = explode_weight_grid(gram, models, steps, member)
         return _drop_products(scored.withColumn("rmse", blend_rmse(models)), models).drop("_need")
     if metric == "mae":
-        rows = (
-            _with_truth(outer).withColumn("_have", present)
-            .select("_have", "y_true", *[f"pred_{m}" for m in models], F.inline(chosen))
-            .where(covered)
-        )
-        grid = explode_weight_grid(rows, models, steps, member)
-        total = F.lit(0.0)
-        for m in models:
-            total = total + F.when(F.col(f"w_{m}") != 0, F.col(f"w_{m}") * _pred(m)).otherwise(0.0)
-        error = F.abs(F.col("y_true") - total)
-        return (
-            grid.groupBy(*label, *[f"w_{m}" for m in models])
-            .agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae"))
-            .drop("_need")
-        )
+        points = simplex_points(len(models), steps)
+        support = F.array(*[F.lit(int(x)) for x in (points != 0) @ (1 << np.arange(len(models)))])
+        sums = abs_error_sums(outer, models, points).withColumn("_support", F.get(support, F.col("_point")))
+
+        def within(s: Column) -> Column:  # support within subset within pattern
+            need = s["_need"]
+            return (need.bitwiseAND(F.col("_have")) == need) & (need.bitwiseAND(F.col("_support")) == F.col("_support"))
+
+        scored = (
+            sums.select("_point", "_n", "_sum", F.inline(F.filter(chosen, within)))
+            .groupBy(*label, "_point").agg(F.sum("_n").alias("n"), F.sum("_sum").alias("_sum"))
+            .withColumn("mae", F.col("_sum") / F.col("n"))
+        )
+        return _with_points(scored, models, points).drop("_need", "_point", "_sum")
     raise ValueError(f"metric {metric!r} is not supported, use rmse or mae")
 
 
 def best_subset(scored: DataFrame, models: Sequence[str], metric: str = "rmse") -> DataFrame:
     """The best subset and weights; among equals the smaller, earlier subset."""
-    weights = [f"w_{m}" for m in models]
-    best = F.min_by(F.struct(*scored.columns), F.struct(_comparable(metric), "subset_no", *weights))
+    weights = [_weight(m) for m in models]
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in scored.columns]), F.struct(_comparable(metric), "subset_no", *weights))
     return scored.agg(best.alias("_best")).select("_best.*")

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from helio_spark.functions import scores
@@ -194,6 +194,31 @@ def naive_scale(
     return lagged.groupBy(*by).agg(scale.alias("scale"))
 
 
+def fold_scales(
+    rows: DataFrame, folds: int, season: int = SEASON, target: str = "pv", series: str = SERIES, idx: str = IDX
+) -> DataFrame:
+    """series, fold, scale: ``naive_scale`` of every fold's train rows, from one sum for each segment.
+
+    ``rows`` carry ``segment`` and ``last_fold`` (see ``fold_segments``); a fold's sum is the running
+    sum of the segments before it, over at most ``folds`` rows of a series.
+    """
+    lagged = with_row_frames(
+        rows.select(series, idx, target, "segment", "last_fold"),
+        lambda w: {"_lag": F.lag(target, season).over(w)},
+        back=season, series=series, idx=idx,
+    )
+    gap = F.abs(F.col(target) - F.col("_lag"))
+    own = lagged.where("segment is not null").groupBy(series, "segment").agg(
+        F.coalesce(F.sum(gap), F.lit(0.0)).alias("_sum"), F.count(gap).alias("_n"), F.max("last_fold").alias("last_fold")
+    )
+    upto = Window.partitionBy(series).orderBy("segment")
+    run = own.select(
+        series, (F.col("segment") + 1).alias("fold"), "last_fold", F.sum("_sum").over(upto).alias("_sum"), F.sum("_n").over(upto).alias("_n")
+    )
+    scale = F.nullif(F.col("_sum") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0))
+    return run.where((F.col("fold") <= F.col("last_fold")) & (F.col("fold") <= folds)).select(series, "fold", scale.alias("scale"))
+
+
 def _with_mase(scored: DataFrame, scale: DataFrame, names: Mapping[str, str]) -> DataFrame:
     # both sides are aggregates: a few rows per series
     joined = scored.join(scale, [c for c in scale.columns if c != "scale"], "left")

@@ -52,7 +52,7 @@ def with_row_frames(
     keys = [series] if isinstance(series, str) else list(series)
     window = Window.partitionBy(*keys, "_block").orderBy(idx)
     made = build(window)
-    kept = [F.col(c) for c in df.columns if c not in made]
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in made]
     if keep_block:
         kept.append(F.col("_block").alias(keep_block))
     return (

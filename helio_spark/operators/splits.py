@@ -88,6 +88,35 @@ def head_share(df: DataFrame, ratio: float, series: str = SERIES, idx: str = IDX
     )
 
 
+def fold_segments(
+    df: DataFrame,
+    folds: int,
+    val_frac: float = 0.1,
+    start_frac: float = 0.5,
+    min_start: int = 24,
+    lengths: DataFrame | None = None,
+    series: str = SERIES,
+    idx: str = IDX,
+) -> DataFrame:
+    """Each row once, with ``segment`` and its series' ``last_fold``; arithmetic on ``time_idx``.
+
+    Fold k trains on segments below k and validates on segment k (see ``walk_forward``);
+    ``last_fold`` is the last whose block does not reach the end of the series. Rows in
+    no fold have no segment. What folds need of their train rows is a running sum over segments.
+    """
+    n, i = F.col("_rows"), F.col(idx)
+    val_len = F.greatest(F.lit(1), share(n, val_frac))
+    start = F.greatest(F.lit(min_start), share(n, start_frac))
+    last = F.least(F.lit(folds).cast("long"), F.floor((n - 1 - start) / val_len))
+    segment = F.when(i < start, F.lit(0).cast("long")).otherwise(F.floor((i - start) / val_len) + 1)
+    return (
+        with_length(df, series, idx, lengths)
+        .withColumns({"segment": segment.cast("int"), "last_fold": F.greatest(last, F.lit(0)).cast("int")})
+        .withColumn("segment", F.when(F.col("segment") <= F.col("last_fold"), F.col("segment")))
+        .drop("_rows")
+    )
+
+
 def walk_forward(
     df: DataFrame,
     folds: int,

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helio_spark.functions.scores import mae, rmse, skill
 from helio_spark.operators.forecasts import horizon_metrics, naive_scale
 from helio_spark.operators.ordering import IDX, SERIES
 from helio_spark.operators.splits import TRAIN, VAL, walk_forward
+from helio_spark.plans.boosting import Spec, fit_boosted, predict_boosted
 from helio_spark.plans.training import fit_horizons, predict_long
 
 
@@ -90,6 +91,55 @@ def run_trials(
     return grid.sparkSession.createDataFrame(results, schema)
 
 
+def boosted_trials(
+    rows: DataFrame,
+    features: Sequence[str],
+    targets: Sequence[str],
+    grid: DataFrame,
+    segment: Column,
+    scale: DataFrame,
+    done: DataFrame | None = None,
+    **fixed,
+) -> DataFrame:
+    """Fit and score every grid point together: the scans do not grow with the number of settings.
+
+    A point's models (one for each target, ``target_h{h}`` in order of h) are those that ``fit_boosted``
+    gives for it alone. They are scored on the rows of segment 1: run_id, the parameters, rmse and mase
+    (means over series and horizons), status and reason. Points in ``done`` are skipped; settings that ``Spec``
+    refuses are ``failed`` with the reason.
+    """
+    params = [c for c in grid.columns if c != "run_id"]
+    todo = (grid if done is None else remaining(grid, done, params)).orderBy("run_id").collect()
+    specs, run_of, failed = [], [], []
+    for point in todo:
+        try:
+            mine = [Spec(target=t, **{**fixed, **{p: point[p] for p in params}}) for t in range(len(targets))]
+        except (TypeError, ValueError) as error:
+            failed.append((point["run_id"], str(error)[:500]))
+            continue
+        specs += mine
+        run_of += [point["run_id"]] * len(mine)
+    spark = grid.sparkSession
+    refused = spark.createDataFrame(failed, "run_id long, reason string")
+    out = grid.join(refused, "run_id").select(
+        *grid.columns, F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("double").alias("mase"), F.lit("failed").alias("status"), "reason"
+    )
+    if not specs:
+        return out
+    boosted = fit_boosted(rows, features, targets, specs, segment)
+    horizons = {i: s.target + 1 for i, s in enumerate(specs)}
+    scored = predict_boosted(rows.where(segment == 1), boosted, horizons)
+    runs = F.array(*[F.lit(r).cast("long") for r in run_of])
+    per = (
+        scored.withColumn("run_id", F.get(runs, F.col("model"))).groupBy("run_id", SERIES, "horizon_h")
+        .agg(rmse("y_true", "y_pred").alias("rmse"), mae("y_true", "y_pred").alias("mae"))
+        .join(scale, SERIES, "left").groupBy("run_id")
+        .agg(F.avg("rmse").alias("rmse"), F.avg(F.col("mae") / F.col("scale")).alias("mase"))
+    )
+    ok = grid.join(per, "run_id").select(*grid.columns, "rmse", "mase", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
+    return ok.unionByName(out)
+
+
 def walk_forward_scores(
     df: DataFrame,
     features: Sequence[str],

@@ -11,12 +11,15 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helio_spark.functions.scores import skill
 from helio_spark.functions.solar import raw_solar_weight
 from helio_spark.functions.time import forecast_time
 from helio_spark.operators.clean import conform
+from helio_spark.operators.forecasts import horizon_metrics
 from helio_spark.operators.framing import latest_origin
 from helio_spark.operators.ordering import IDX, SERIES, TS
 from helio_spark.operators.splits import TRAIN, VAL
+from helio_spark.plans.boosting import Boosted, predict_boosted
 
 FEATURES = "features"
 WEIGHT = "weight"
@@ -148,3 +151,31 @@ def next_day(
     return predict_long(conform(origins, features, keep=(SERIES, TS, IDX)), models, features).drop(
         "y_true"
     )
+
+
+def with_naive(scored: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """``y_naive`` of each row's horizon from the kept columns ``y_naive_h{h}``, which go."""
+    own = F.coalesce(*[F.when(F.col("horizon_h") == h, F.col(f"y_naive_h{h}")) for h in horizons])
+    return scored.withColumn("y_naive", own).drop(*[f"y_naive_h{h}" for h in horizons])
+
+
+def backtest(
+    rows: DataFrame,
+    boosted: Boosted,
+    horizons: Mapping[int, int],
+    scale: DataFrame,
+    by: Sequence[str] = (SERIES, "horizon_h"),
+    fold: str | None = None,
+) -> DataFrame:
+    """RMSE and MASE of the models and of persistence per ``by``, with the skill in percent.
+
+    ``rows`` carry the features, ``target_h{h}`` and ``y_naive_h{h}`` of each horizon; ``scale`` is from the
+    train rows. With ``fold`` each row is forecast by the models of its fold.
+    """
+    every = sorted(set(horizons.values()))
+    keep = [f"y_naive_h{h}" for h in every] + ([] if fold is None else [fold])
+    scored = predict_boosted(rows, boosted, horizons, keep=keep, fold=fold)
+    if fold is not None:
+        scored = scored.withColumn("fold", F.col(fold))
+    metrics = horizon_metrics(with_naive(scored, every), scale, by=by)
+    return metrics.withColumn("skill_pct", skill(F.col("rmse_model"), F.col("rmse_naive")))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +41,52 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Paths that the innermost open ``stored_scope`` owns.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store that ``path`` names; one that is not there is no error."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def stored_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns every table that is stored while it is open, and deletes them when it closes.
+
+    Results must be written out or collected before: DataFrames made inside read
+    the deleted tables. Scopes nest; an inner one takes what is stored inside it. Scopes of
+    different threads do not mix.
+    """
+    owned: list[str] = []
+    token = _OWNED.set(owned)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in owned:
+            remove_path(spark, path)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, owned by the open scope if there is one."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files.
 
     This cuts lineage, survives lost executors, fixes non-deterministic values
-    such as row positions, and keeps column pruning (unlike a checkpoint).
+    such as row positions, and keeps column pruning (unlike a checkpoint). The files
+    stay until an open ``stored_scope`` closes; without one nothing deletes them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -19,7 +19,8 @@ from helio_spark.operators.history import (
 )
 from helio_spark.operators.row_frames import with_row_frames
 from helio_spark.operators.scaling import apply_scaler, fit_scaler, window_count
-from helio_spark.operators.splits import split_rows, split_windows, walk_forward
+from helio_spark.operators.forecasts import fold_scales, naive_scale
+from helio_spark.operators.splits import fold_segments, split_rows, split_windows, walk_forward
 
 GAPS = [1.0, None, 3.0, 4.0, None, None, None, 8.0]
 
@@ -169,3 +170,23 @@ def test_scaler_equals_flattened_windows(spark):
     counts = df.select(window_count(F.col("time_idx"), F.lit(n_train), seq_len).alias("n")).collect()
     brute = [sum(i <= j < i + seq_len for i in range(n_train)) for j in range(120)]
     assert [r.n for r in counts] == brute
+
+
+def test_fold_segments_say_what_walk_forward_repeats(spark):
+    sizes = {"a": 30, "b": 61, "c": 100, "d": 130, "e": 5, "f": 257}
+    df = spark.createDataFrame([(s, i, float((i * i) % 7)) for s, n in sizes.items() for i in range(n)], "series_id string, time_idx long, pv double")
+    for folds in (1, 3, 5, 9):
+        repeated = walk_forward(df, folds)
+        placed = fold_segments(df, folds)
+        assert placed.count() == df.count()
+        want = {(r.series_id, r.time_idx, r.fold, r.role) for r in repeated.collect()}
+        got = set()
+        for r in placed.where("segment is not null").collect():
+            got |= {(r.series_id, r.time_idx, k, "train") for k in range(r.segment + 1, r.last_fold + 1)}
+            if r.segment:
+                got.add((r.series_id, r.time_idx, r.segment, "val"))
+        assert got == want
+        scales = {(r.series_id, r.fold): r.scale for r in fold_scales(placed, folds).collect()}
+        slow = naive_scale(repeated.where("role = 'train'"), by=("series_id", "fold")).collect()
+        assert scales.keys() == {(r.series_id, r.fold) for r in slow}
+        assert all(scales[r.series_id, r.fold] == (None if r.scale is None else pytest.approx(r.scale)) for r in slow)
