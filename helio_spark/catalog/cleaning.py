@@ -147,15 +147,15 @@ def model_features(spark, sf_dir):
 @query(
     "drop_and_reindex",
     f"""
-    WITH {HOURLY_SQL},
-    l AS (SELECT series_id, ts, pv, lag(pv, 24) OVER (PARTITION BY series_id ORDER BY ts) AS pv_lag24
-          FROM h)
+    WITH {RAW_SQL},
+    l AS (SELECT series_id, ts, time_idx AS old, pv, lag(pv, 24) OVER (PARTITION BY series_id ORDER BY time_idx) AS pv_lag24
+          FROM r)
     SELECT series_id, ts, {rounded('pv', 'pv_lag24')},
-           row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS time_idx
+           row_number() OVER (PARTITION BY series_id ORDER BY old) - 1 AS time_idx
     FROM l WHERE pv_lag24 IS NOT NULL""",
 )
 def dropped(spark, sf_dir):
-    lagged = add_lags(hourly(spark, sf_dir).select("series_id", "ts", "time_idx", "pv"), ["pv"], [24])
+    lagged = add_lags(raw(spark, sf_dir).select("series_id", "ts", "time_idx", "pv"), ["pv"], [24])
     return tidy(drop_and_reindex(lagged))
 
 
@@ -193,6 +193,40 @@ def asof_align(spark, sf_dir):
     )
 
 
+_COPIES_SQL = f"""
+    WITH {WEATHER_SQL}, {EVENTS_SQL},
+    mc AS (SELECT series_id, ts, CASE WHEN event_id % 8 > 0 THEN pv END AS pv, 0 AS part FROM ev
+           UNION ALL SELECT series_id, ts, pv + 1, 1 FROM ev WHERE event_id % 3 = 0
+           UNION ALL SELECT series_id, ts, pv + 2, 2 FROM ev WHERE event_id % 24 = 0),
+    m1 AS (SELECT series_id, ts, arg_min(pv, part) FILTER (WHERE pv IS NOT NULL) AS pv FROM mc GROUP BY 1, 2),
+    wc AS (SELECT series_id, ts, ghi, temp, 0 AS part FROM wx
+           UNION ALL SELECT series_id, ts, ghi + 100, temp + 5, 1 FROM wx WHERE hour(ts) % 2 = 0),
+    al AS (SELECT series_id, ts, CAST(NULL AS DOUBLE) AS pv, ghi, temp, part * 2 AS place, part FROM wc
+           UNION ALL SELECT series_id, ts, pv, NULL, NULL, 1, 0 FROM m1),
+    ff AS (SELECT series_id, ts, pv, place, last_value(ghi IGNORE NULLS) OVER w AS ghi, last_value(temp IGNORE NULLS) OVER w AS temp
+           FROM al WINDOW w AS (PARTITION BY series_id ORDER BY ts, place, part
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS time_idx, {rounded("pv", "ghi", "temp")}
+    FROM ff WHERE place = 1 AND pv IS NOT NULL"""
+
+
+@query("asof_copies", _COPIES_SQL)
+def asof_copies(spark, sf_dir):
+    """Copies of measured and weather rows: the first value counts, later weather copies fill later times."""
+    rows = events(spark, sf_dir)
+    part = lambda df, n, pv: df.select("series_id", "ts", pv.alias("pv"), F.lit(n).alias("part_no"))
+    faulty = F.when(F.col("event_id") % 8 > 0, F.col("pv"))
+    measured = (
+        part(rows, 0, faulty)
+        .unionByName(part(rows.where("event_id % 3 = 0"), 1, F.col("pv") + 1))
+        .unionByName(part(rows.where("event_id % 24 = 0"), 2, F.col("pv") + 2))
+    )
+    wx = weather(spark, sf_dir).withColumn("part_no", F.lit(0))
+    again = wx.where(F.hour("ts") % 2 == 0).withColumns({"ghi": F.col("ghi") + 100, "temp": F.col("temp") + 5, "part_no": F.lit(1)})
+    made = align(measured, wx.unionByName(again), order=["part_no"], slices=16)
+    return tidy(made.select("series_id", "ts", "time_idx", "pv", "ghi", "temp"))
+
+
 @query(
     "align_keep_future",
     _ALIGN_SQL.format(

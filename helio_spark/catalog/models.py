@@ -1,93 +1,12 @@
-"""Tree models, parameter grids and leaderboards."""
+"""Parameter grids and leaderboards."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helio_spark.catalog.inputs import HORIZON, hourly, table, tidy, with_site
+from helio_spark.catalog.inputs import table, tidy
 from helio_spark.catalog.registry import query
-from helio_spark.functions.solar import add_solar_position
-from helio_spark.functions.time import add_cyclic
-from helio_spark.operators.clean import drop_incomplete_rows
-from helio_spark.operators.forecasts import extended_metrics, persistence_at
-from helio_spark.operators.history import add_history, target_columns
-from helio_spark.operators.ordering import reindex
-from helio_spark.operators.row_frames import with_row_frames
-from helio_spark.operators.splits import TEST, split_rows
-from helio_spark.plans.search import (
-    best_trial,
-    leaderboard,
-    parameter_grid,
-    remaining,
-    run_trials,
-    walk_forward_scores,
-)
-from helio_spark.plans.training import feature_importance, fit_horizons, next_day, predict_long
-from helio_spark.session import materialize
-
-HORIZONS = (1, 12, HORIZON)
-FEATURES = (
-    "pv", "ghi", "temp", "hour_sin", "hour_cos", "sp_zenith", "pv_lag1", "pv_lag24", "pv_roll3h",
-    "pv_roll6h", "pv_var3h", "pv_var6h", "time_idx",
-)
-FAST = {"maxIter": 3, "maxDepth": 3}
-
-
-def _featured(spark, sf_dir):
-    placed = add_solar_position(with_site(hourly(spark, sf_dir)).drop("tz", "n"))
-    return add_history(add_cyclic(placed), ["pv"], ["pv"], (1, 24), (3, 6))
-
-
-def _samples(spark, sf_dir):
-    """Features, targets and persistence; complete rows only; stored for the many fits."""
-    framed = with_row_frames(
-        _featured(spark, sf_dir),
-        lambda w: target_columns(w, HORIZON)
-        | {f"y_naive_h{h}": persistence_at(w, h) for h in HORIZONS},
-        back=24,
-        fwd=HORIZON,
-    )
-    return materialize(reindex(drop_incomplete_rows(framed, FEATURES)), "samples")
-
-
-def _fitted(spark, sf_dir):
-    rows = split_rows(_samples(spark, sf_dir))
-    return rows, fit_horizons(rows, FEATURES, HORIZONS, **FAST)
-
-
-@query("gbt_horizons")
-def gbt_horizons(spark, sf_dir):
-    """Test scores of one boosted-tree model per horizon."""
-    rows, models = _fitted(spark, sf_dir)
-    scored = predict_long(rows.where(F.col("split") == TEST), models, FEATURES)
-    return tidy(extended_metrics(scored))
-
-
-@query("feature_importance")
-def importance(spark, sf_dir):
-    rows, models = _fitted(spark, sf_dir)
-    return tidy(feature_importance(rows, models, FEATURES))
-
-
-@query("next_day_forecast")
-def next_day_forecast(spark, sf_dir):
-    """Forecasts from each series' newest row, which has no target yet."""
-    _, models = _fitted(spark, sf_dir)
-    return tidy(next_day(_featured(spark, sf_dir), models, FEATURES))
-
-
-@query("walk_forward_models")
-def walk_forward_models(spark, sf_dir):
-    return tidy(walk_forward_scores(_samples(spark, sf_dir), FEATURES, (1,), folds=2, **FAST))
-
-
-@query("trial_search")
-def trial_search(spark, sf_dir):
-    """A small grid over tree depth, with the improvement over a fixed score."""
-    rows = split_rows(_samples(spark, sf_dir))
-    trials = run_trials(rows, FEATURES, (1,), parameter_grid(spark, {"maxDepth": [2, 4]}), maxIter=3)
-    return tidy(leaderboard(trials, baseline=1.0))
-
+from helio_spark.plans.search import best_trial, leaderboard, parameter_grid, remaining
 
 # fixed values: sample parameter grid
 GRID = {"hidden_size": [16, 32, 64], "dropout": [0.1, 0.2, 0.4], "batch_size": [32, 64]}

@@ -35,6 +35,7 @@ from helio_spark.operators.forecasts import (
     weak_horizons,
     with_zenith,
 )
+from helio_spark.session import materialize
 from helio_spark.operators.splits import TEST, TRAIN, VAL, fold_segments, split_rows
 
 _RMSE = "sqrt(avg((y_true - {p}) ** 2))"
@@ -181,8 +182,8 @@ def metrics_daylight(spark, sf_dir):
     FROM fc LEFT JOIN sun s ON {_AT_FORECAST}""",
 )
 def forecast_zenith(spark, sf_dir):
-    """For stored forecasts: the zenith of the forecast row by its index."""
-    seen = with_zenith(forecasts(spark, sf_dir), _placed(spark, sf_dir))
+    """The zenith of the forecast row comes with its truth, without a join."""
+    seen = long_forecasts(_placed(spark, sf_dir), HORIZON, METHODS, ahead=["sp_zenith"])
     return tidy(seen.select("series_id", "time_idx", "horizon_h", "sp_zenith"))
 
 
@@ -194,10 +195,24 @@ def forecast_zenith(spark, sf_dir):
     FROM fc LEFT JOIN sun s ON s.series_id = fc.series_id AND s.time_idx = fc.time_idx""",
 )
 def origin_zenith(spark, sf_dir):
-    seen = with_zenith(forecasts(spark, sf_dir), _placed(spark, sf_dir), at="origin")
+    seen = long_forecasts(_placed(spark, sf_dir), HORIZON, METHODS, keep=["sp_zenith"])
     return tidy(seen.select("series_id", "time_idx", "horizon_h", "sp_zenith"))
 
 
+@query(
+    "stored_zenith",
+    f"""
+    WITH {_ZENITH_SQL}
+    SELECT fc.series_id, fc.time_idx, fc.horizon_h, {rounded('sp_zenith')}
+    FROM fc LEFT JOIN sun s ON {_AT_FORECAST}""",
+)
+def stored_zenith(spark, sf_dir):
+    """For forecasts that were stored without it: the zenith of the forecast row by its index."""
+    placed = materialize(_placed(spark, sf_dir), "placed")
+    stored = long_forecasts(placed.drop("sp_zenith", "sp_azimuth"), HORIZON, METHODS)
+    return tidy(with_zenith(stored, placed).select("series_id", "time_idx", "horizon_h", "sp_zenith"))
+
+
 @query(
     "fold_metrics",
     f"""

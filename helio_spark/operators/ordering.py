@@ -112,23 +112,23 @@ def index_cells(
 
 
 def index_hourly(df: DataFrame, series: str = SERIES, ts: str = TS, name: str = IDX) -> DataFrame:
-    """``time_idx`` of a series with at most one row per hour."""
-    return index_cells(df, F.to_date(ts), series, (ts,), name)
+    """``time_idx`` of a series with at most one row per hour; ``df`` is evaluated once."""
+    return index_blocks(df.withColumns({"_day": F.to_date(ts), name: F.col(ts)}), "_day", series, name)
 
 
 def reindex(df: DataFrame, old: str = IDX, series: str = SERIES, name: str = IDX) -> DataFrame:
-    """Close the gaps that a filter left in an index."""
-    kept = df.withColumnRenamed(old, "_old")
-    cell = F.floor(F.col("_old") / CELL_ROWS)
-    return index_cells(kept, cell, series, ("_old",), name).drop("_old")
+    """Close the gaps that a filter left in an index; ``df`` is evaluated once."""
+    kept = df.withColumnRenamed(old, name).withColumn("_cell", F.floor(F.col(name) / CELL_ROWS))
+    return index_blocks(kept, "_cell", series, name)
 
 
 def index_blocks(
     df: DataFrame, block: str, series: str = SERIES, idx: str = IDX
 ) -> DataFrame:
-    """Renumber rows that a window has just grouped by ``(series, block)``.
+    """Renumber the rows of a series by ``idx``, which ascends with ``block``.
 
-    The rank in the block needs no further exchange. The rows are stored with it,
+    Rows that a window has just grouped by ``(series, block)`` need no further
+    exchange for their rank in the block. The rows are stored with it,
     so that wide rows are neither computed twice (for the counts) nor shuffled
     again: the counts are read from two stored columns.
     """
