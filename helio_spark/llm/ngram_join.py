@@ -29,6 +29,8 @@ N, SHARE, SHARE_OF = 5, 75, 100
 RANGE_GRAMS, LOCAL, EVERYWHERE = 1_500_000, 0.05, 0.02
 #: n-grams of a class at which it meets one other class before all others of other components.
 FIRST = 12
+#: Bits of a set's parity.
+PARITY = 512
 _LOW = np.uint64(2**48 - 1)
 _FREQUENT = 255
 
@@ -209,7 +211,7 @@ def _shared_grams(docs: DataFrame, classes: DataFrame, n: int, id_col: str, text
                 name.append(c)
                 token.append(np.frombuffer(g.as_py(), np.int64))
                 rarity.append(np.frombuffer(r.as_py(), np.uint8))
-        out = {"class": [], "n": [], "prefix": [], "grams": []}
+        out = {"class": [], "n": [], "prefix": [], "grams": [], "parity": []}
         if name and size_name:
             name, token, rarity = np.concatenate(name), np.concatenate(token), np.concatenate(rarity)
             size_name, size = np.concatenate(size_name), np.concatenate(size)
@@ -228,16 +230,26 @@ def _shared_grams(docs: DataFrame, classes: DataFrame, n: int, id_col: str, text
                     out["n"].append(k)
                     out["prefix"].append(len(own) - need + 1)
                     out["grams"].append(own)
-        return pa.table(
-            [pa.array(out["class"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["prefix"], pa.int32()), pa.array(out["grams"], pa.list_(pa.int64()))],
-            names=["class", "n", "prefix", "grams"],
-        )
+                    out["parity"].append(parity_of(own))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return counted.unionByName(sizes).groupBy("part").applyInArrow(
-        gather, "class long, n long, prefix int, grams array<long>"
+        gather, "class long, n long, prefix int, grams array<long>, parity array<long>"
     )
 
 
+def parity_of(grams: np.ndarray) -> np.ndarray:
+    """PARITY bits, as longs: how often, modulo 2, the n-grams hash to each place.
+
+    What two sets have in common cancels, so sets whose bits differ at d places have at
+    least d n-grams that only one of them has.
+    """
+    place = (mixed(grams.view(np.uint64)) % np.uint64(PARITY)).astype(np.int64)
+    odd = np.bincount(place, minlength=PARITY) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def suffix_may_match(a: np.ndarray, b: np.ndarray, need: int, depth: int = 3) -> bool:
     """False if two sorted arrays surely have fewer than ``need`` values in common.
 
@@ -288,6 +300,16 @@ def _possible(na, nb, ia, ib):
     return length & (1 + F.least(na - ia - 1, nb - ib - 1) >= need)
 
 
+#: Linked sets of sizes a and b differ in at most (a + b) / 7 n-grams: (SHARE_OF + SHARE) / (SHARE_OF - SHARE).
+SUM_OF_DIFFERENCE = (SHARE_OF + SHARE) // (SHARE_OF - SHARE)
+
+
+def _parity_distance(a: str, b: str):
+    """Places in which two parities differ."""
+    words = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PARITY // 64)]
+    return sum(words[1:], words[0]).cast("long")
+
+
 def links_and_components(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect all that is linked, and (node, component)."""
     grams = materialize(grams, "shared-grams")
@@ -310,12 +332,14 @@ def links_and_components(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     # classes of different components, wherever a prefix n-gram has several
     named = postings.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("p", F.coalesce("component", "c")).drop("component")
     open_ = named.groupBy("gram").agg(F.min("p").alias("p0"), F.max("p").alias("p1")).where("p0 <> p1").select("gram")
-    named = materialize(named.join(open_, "gram", "left_semi"), "open-postings")
-    x = named.select("gram", F.col("c").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("p").alias("pa"))
-    y = named.select("gram", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("p").alias("pb"))
-    met = x.join(
-        y, (x["gram"] == y["gram"]) & (x["a"] < y["b"]) & (x["pa"] != y["pb"]) & _possible(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"))
-    )
+    # with their parities, which tell most sets apart that share a common passage only
+    bits = grams.select(F.col("class").alias("c"), "parity")
+    named = materialize(named.join(open_, "gram", "left_semi").join(bits, "c"), "open-postings")
+    side = lambda k: named.select("gram", *[F.col(c).alias(f"{c}{k}") for c in ("c", "n", "own", "i", "p", "parity")])
+    met = side("a").join(side("b"), "gram").where(
+        (F.col("ca") < F.col("cb")) & (F.col("pa") != F.col("pb")) & _possible(F.col("na"), F.col("nb"), F.col("ia"), F.col("ib"))
+        & (SUM_OF_DIFFERENCE * (_parity_distance("paritya", "parityb") + F.col("owna") + F.col("ownb")) <= F.col("na") + F.col("nb"))
+    ).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     pairs = met.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialize(_verified(pairs, grams), "links")
     every = links.unionByName(more)
