@@ -23,8 +23,8 @@ HEADLINE = (
     "supervised_targets covariate_fallback solar_position clearsky_ineichen solar_weights "
     "feature_table split_windows walk_forward_folds windows scale_standard persistence_forecasts "
     "metrics_by_horizon metrics_micro metrics_daylight fold_metrics align_forecasts weight_grid "
-    "weight_grid_mae subset_search latest_origin null_profile processed_store gbt_horizons "
-    "next_day_forecast"
+    "weight_grid_mae subset_search six_subsets_mae optimal_weights_mae latest_origin null_profile "
+    "processed_store window_store gbt_horizons next_day_forecast"
 ).split()
 
 

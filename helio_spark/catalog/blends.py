@@ -15,9 +15,10 @@ from helio_spark.operators.blending import (
     score_subsets,
     score_weight_grid,
 )
-from helio_spark.operators.forecasts import KEYS, Persistence, RecentMean, align_forecasts, long_forecasts, stack_models, with_fallback
+from helio_spark.operators.forecasts import KEYS, Persistence, RecentMean, align_forecasts, long_forecasts, naive_scale, stack_models, with_fallback
 from helio_spark.operators.optimum import optimal_weights
-from helio_spark.plans.evaluation import apply_weights, choose_weights, compare_members
+from helio_spark.operators.splits import TRAIN, split_rows
+from helio_spark.plans.evaluation import apply_weights, blend_scores, choose_weights, compare_members
 
 _FC = forecasts_sql(BLEND_HORIZON)
 _FULL = f"{_FC}, af AS (SELECT * FROM fc WHERE day IS NOT NULL AND week IS NOT NULL)"
@@ -254,6 +255,27 @@ def members(spark, sf_dir):
     return tidy(compare_members(made, MODELS, by=["horizon_h"]))
 
 
+@query(
+    "blend_scores",
+    f"""
+    WITH {_FULL},
+    lg AS (SELECT series_id, pv, lag(pv, 24) OVER (PARTITION BY series_id ORDER BY time_idx) AS l FROM sp WHERE split = 'train'),
+    sc AS (SELECT series_id, avg(abs(pv - l)) AS scale FROM lg GROUP BY 1),
+    tl AS ("""
+    + " UNION ALL ".join(f"SELECT series_id, horizon_h, '{m}' AS model, y_true, {p} AS p FROM af WHERE split = 'test'" for m, p in _MEMBERS.items())
+    + f""")
+    SELECT series_id, model, horizon_h, n, {rounded('rmse', 'mae', 'mae / scale AS mase')}
+    FROM (SELECT series_id, model, horizon_h, count(*) AS n, sqrt(avg((y_true - p) ** 2)) AS rmse, avg(abs(y_true - p)) AS mae
+          FROM tl GROUP BY GROUPING SETS ((series_id, model, horizon_h), (series_id, model))) JOIN sc USING (series_id)""",
+)
+def scores_of_blend(spark, sf_dir):
+    """The blend and its members on the test rows, per horizon and over all, with MASE."""
+    test = model_tables(spark, sf_dir, "test")
+    made = apply_weights(test, {"day": 0.3, "week": 0.2, "mean": 0.5})
+    train = split_rows(raw(spark, sf_dir).select("series_id", "time_idx", "pv")).where(F.col("split") == TRAIN)
+    return tidy(blend_scores(made, MODELS, naive_scale(train)))
+
+
 _TEST_MEMBERS = {**{m: m for m in MODELS}, "ensemble": f"({_BLEND})"}
 
 

@@ -28,6 +28,7 @@ from helio_spark.functions.solar import (
     to_kw,
     with_coordinates,
 )
+from helio_spark.operators.history import DEFAULT_LAGS, DEFAULT_ROLLS
 from helio_spark.plans.features import build_features, build_scoring_features
 
 # fixed values: sample Linke turbidity by month
@@ -272,13 +273,29 @@ def solar_weights(spark, sf_dir):
     return tidy(both.select("event_id", "weight", "weight_series"))
 
 
+_WITH_HISTORY = ("pv", "ghi")
+_LAG_NAMES = [f"{c}_lag{n}" for c in _WITH_HISTORY for n in DEFAULT_LAGS]
+_ROLL_NAMES = [f"{c}_{kind}{n}h" for c in _WITH_HISTORY for kind in ("roll", "var") for n in DEFAULT_ROLLS]
 _FEATURE_COLS = (
-    "series_id", "ts", "time_idx", "pv", "ghi", "temp", "weather_description", "hour_sin", "doy_cos",
-    "is_weekend", "is_holiday", "sp_zenith", "sp_azimuth", "cs_ghi", "cs_dni", "kc", "pv_lag1",
-    "pv_lag24", "ghi_lag24", "pv_roll3h", "ghi_roll6h", "pv_var6h",
+    "series_id", "ts", "time_idx", "pv", "ghi", "temp", "weather_description", "hour_sin", "hour_cos", "doy_sin", "doy_cos",
+    "is_weekend", "is_holiday", "sp_zenith", "sp_azimuth", "cs_ghi", "cs_dni", "cs_dhi", "kc", *_LAG_NAMES, *_ROLL_NAMES,
 )
 
+
 _WIN = "PARTITION BY series_id ORDER BY ts"
+
+
+def _history_sql() -> list[str]:
+    """All lags, rolling means and variances of the default widths."""
+    out = [f"lag({c}, {n}) OVER ({_WIN}) AS {c}_lag{n}" for c in _WITH_HISTORY for n in DEFAULT_LAGS]
+    for c in _WITH_HISTORY:
+        for kind, agg in (("roll", "avg"), ("var", "var_pop")):
+            for n in DEFAULT_ROLLS:
+                frame = f"({_WIN} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+                out.append(f"CASE WHEN count({c}) OVER {frame} >= {max(1, n // 2)} THEN {agg}({c}) OVER {frame} END AS {c}_{kind}{n}h")
+    return out
+
+
 _CHAIN_SQL = f"""
     WITH {WEATHER_SQL}, {SITES_SQL}, {EVENTS_SQL},
     al AS (SELECT coalesce(e.series_id, w.series_id) AS series_id, coalesce(e.ts, w.ts) AS ts, e.pv,
@@ -296,21 +313,14 @@ _CHAIN_SQL = f"""
     fe AS (SELECT *, coalesce(CASE WHEN cs_ghi > 0 THEN least(greatest(ghi / cs_ghi, 0), 2) END, 0) AS kc,
              CAST(CASE txt WHEN 'clear sky' THEN 10 WHEN 'light rain' THEN 2 ELSE 5 END AS DOUBLE)
                AS weather_description,
-             sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * dayofyear(ts) / 365) AS doy_cos,
+             sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos,
+             sin(2 * pi() * dayofyear(ts) / 365) AS doy_sin, cos(2 * pi() * dayofyear(ts) / 365) AS doy_cos,
              CAST(CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS DOUBLE) AS is_weekend,
-             CAST(0 AS DOUBLE) AS is_holiday,
-             lag(pv, 1) OVER ({_WIN}) AS pv_lag1, lag(pv, 24) OVER ({_WIN}) AS pv_lag24,
-             lag(ghi, 24) OVER ({_WIN}) AS ghi_lag24, lag(ghi, 1) OVER ({_WIN}) AS ghi_lag1,
-             avg(pv) OVER ({_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS pv_roll3h,
-             CASE WHEN count(ghi) OVER ({_WIN} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) >= 3
-                  THEN avg(ghi) OVER ({_WIN} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) END AS ghi_roll6h,
-             CASE WHEN count(pv) OVER ({_WIN} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) >= 3
-                  THEN var_pop(pv) OVER ({_WIN} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) END AS pv_var6h
+             CAST(0 AS DOUBLE) AS is_holiday, {', '.join(_history_sql())}
            FROM cs)
     SELECT series_id, ts, row_number() OVER ({_WIN}) - 1 AS time_idx,
            {rounded(*_FEATURE_COLS[3:])}
-    FROM fe WHERE pv_lag24 IS NOT NULL AND ghi_lag24 IS NOT NULL AND ghi IS NOT NULL
-              AND ghi_lag1 IS NOT NULL AND ghi_roll6h IS NOT NULL AND pv_var6h IS NOT NULL"""
+    FROM fe WHERE ghi IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in (*_LAG_NAMES, *_ROLL_NAMES))}"""
 
 
 @query("feature_table", _CHAIN_SQL)
@@ -318,7 +328,7 @@ def feature_table(spark, sf_dir):
     """The whole chain: as-of weather, row features, history, cleaning, new index."""
     text = F.when(F.col("ghi") > 300, "clear sky").otherwise("light rain")
     wx = with_site(weather(spark, sf_dir).withColumn("weather_description", text)).drop("tz")
-    built = build_features(events(spark, sf_dir), wx, lags=(1, 24), widths=(3, 6))
+    built = build_features(events(spark, sf_dir), wx)
     return tidy(built.select(*_FEATURE_COLS))
 
 
@@ -334,10 +344,7 @@ def feature_table(spark, sf_dir):
     + rounded(
         "pv",
         "ghi",
-        f"lag(pv, 1) OVER ({_WIN}) AS pv_lag1",
-        f"lag(ghi, 24) OVER ({_WIN}) AS ghi_lag24",
-        f"CASE WHEN count(pv) OVER ({_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 1 "
-        f"THEN avg(pv) OVER ({_WIN} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS pv_roll3h",
+        *_history_sql(),
     )
     + " FROM al",
 )
@@ -353,7 +360,5 @@ def scoring_features(spark, sf_dir):
         "lat",
         "lon",
     )
-    built = build_scoring_features(measured, past, ahead, lags=(1, 24), widths=(3,))
-    return tidy(
-        built.select("series_id", "ts", "time_idx", "pv", "ghi", "pv_lag1", "ghi_lag24", "pv_roll3h")
-    )
+    built = build_scoring_features(measured, past, ahead)
+    return tidy(built.select("series_id", "ts", "time_idx", "pv", "ghi", *_LAG_NAMES, *_ROLL_NAMES))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helio_spark.operators.joins import attach
 from helio_spark.operators.ordering import SERIES, TS
 
 TWO_PI = 6.283185307179586
@@ -94,18 +95,15 @@ def add_calendar_flags(
 ) -> DataFrame:
     """``is_weekend`` and ``is_holiday`` as 0/1 doubles, by UTC date.
 
-    ``holidays`` has one ``day`` column; at most a few rows per year of data,
-    which bounds the broadcast.
+    ``holidays`` has one ``day`` column; its different days are broadcast if they are few, as
+    holidays are, and joined by date otherwise.
     """
     out = df.withColumn("is_weekend", (F.weekday(ts) >= 5).cast("double"))
     if holidays is None:
         return out.withColumn("is_holiday", F.lit(0.0))
-    days = F.broadcast(holidays.select(F.col("day").alias("_day")).distinct())
-    return (
-        out.join(days, F.to_date(ts) == F.col("_day"), "left")
-        .withColumn("is_holiday", F.col("_day").isNotNull().cast("double"))
-        .drop("_day")
-    )
+    days = holidays.where(F.col("day").isNotNull()).select(F.to_date("day").alias("_day")).distinct()
+    marked = attach(out.withColumn("_day", F.to_date(ts)), days.withColumn("_off", F.lit(1.0)), ["_day"], spread=F.col(ts))
+    return marked.withColumn("is_holiday", F.coalesce("_off", F.lit(0.0))).drop("_day", "_off")
 
 
 def lookup_times(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helio_spark.functions.weather import is_weather_text, numeric_columns
 from helio_spark.operators.ordering import SERIES, TS, reindex
@@ -14,6 +15,52 @@ from helio_spark.operators.ordering import SERIES, TS, reindex
 CRITICAL_WORDS = ("pv", "ghi", "dni", "dhi", "lag", "roll", "var")
 
 
+#: Types whose values an aggregate can replace in place; with others Spark sorts the rows first.
+_IN_PLACE = (
+    T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+    T.DateType, T.TimestampType, T.TimestampNTZType,
+)
+#: Bits of the last column of an order of two that is packed into one number.
+ROW_BITS = 40
+
+
+def _in_place(df: DataFrame, cols: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[c].dataType, _IN_PLACE) for c in cols)
+
+
+def packed_order(df: DataFrame, order: Sequence[str]) -> Column:
+    """One value that orders rows as ``order`` does: the column itself, two whole numbers as one, or a struct.
+
+    Two whole numbers (such as file and row) are packed if neither is negative, the second is under
+    2 ** 40 and the first under 2 ** 22; others fail the job rather than being ordered wrongly.
+    """
+    whole = all(isinstance(df.schema[c].dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)) for c in order)
+    if len(order) == 1:
+        return F.col(f"`{order[0]}`")
+    if len(order) != 2 or not whole:
+        return F.struct(*[F.col(f"`{c}`") for c in order])
+    a, b = (F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)) for c in order)
+    fits = (a >= 0) & (a < 1 << 62 - ROW_BITS) & (b >= 0) & (b < 1 << ROW_BITS)
+    wrong = F.raise_error(F.lit(f"{order} do not fit into one number")).cast("long")
+    return F.when(fits, F.shiftleft(a, ROW_BITS) + b).otherwise(wrong)
+
+
+def row_by(df: DataFrame, keys: Sequence[str], order: Column, newest: bool = False) -> DataFrame:
+    """One row per key: that with the least (or greatest) ``order``, null ones last.
+
+    If all columns have a fixed width, each is kept in place in a hash aggregate, and rows are
+    neither sorted nor copied before their key is met; all columns follow the same comparisons, so
+    they come from one row. Otherwise the rows are structs, which a sort brings together.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    pick = F.max_by if newest else F.min_by
+    grouped = df.groupBy(*[F.col(f"`{c}`") for c in keys])
+    if rest and _in_place(df, rest):
+        return grouped.agg(*[pick(F.col(f"`{c}`"), order).alias(c) for c in rest]).select(*[F.col(f"`{c}`") for c in df.columns])
+    row = pick(F.struct(*[F.col(f"`{c}`") for c in rest]), order).alias("_row")
+    return grouped.agg(row).select(*[F.col(f"`{c}`") for c in keys], "_row.*").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def dedupe_first(
     df: DataFrame, keys: Sequence[str] = (SERIES, TS), order: Sequence[str] = ("part_no", "row_no")
 ) -> DataFrame:
@@ -22,9 +69,7 @@ def dedupe_first(
     An aggregate rather than a ranking window: copies are dropped before the
     shuffle, so a key with any number of copies moves one row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(first).select(*keys, "_row.*").select(*df.columns)
+    return row_by(df, keys, packed_order(df, order))
 
 
 def keep_measured(df: DataFrame, target: str = "pv", keep_future: bool = False) -> DataFrame:

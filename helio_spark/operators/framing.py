@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from helio_spark.operators.clean import row_by
 from helio_spark.operators.ordering import IDX, SERIES, TS
 from helio_spark.operators.row_frames import with_row_frames
 
@@ -127,16 +128,11 @@ def latest_origin(
 ) -> DataFrame:
     """The newest measured row of each series.
 
-    ``max_by`` keeps one row per series and task before the shuffle.
+    ``max_by`` keeps one row per series and task before the shuffle. Positions ascend with
+    time, so they order the rows where there are any: of rows of one instant the later counts.
     """
-    rest = [c for c in df.columns if c != series]
-    # rows of one instant: the later position
-    order = F.struct(ts, IDX) if IDX in df.columns else F.col(ts)
-    newest = F.max_by(F.struct(*rest), order).alias("_row")
-    return (
-        df.where(F.col(target).isNotNull()).groupBy(series).agg(newest).select(series, "_row.*")
-        .select(*df.columns)
-    )
+    order = F.col(IDX) if IDX in df.columns else F.col(ts)
+    return row_by(df.where(F.col(target).isNotNull()), [series], order, newest=True)
 
 
 def first_per_horizon(

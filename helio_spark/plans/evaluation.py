@@ -18,6 +18,8 @@ from helio_spark.operators.blending import (
     subsets,
 )
 from helio_spark.operators.forecasts import align_forecasts, stack_models, unpivot_models
+from helio_spark.operators.optimum import optimal_weights
+from helio_spark.operators.ordering import SERIES
 
 
 def choose_weights(
@@ -30,8 +32,9 @@ def choose_weights(
 ) -> dict[str, float]:
     """Weights by model, from the validation forecasts.
 
-    ``method``: ``grid`` (all models), ``random`` (all models, seeded trials) or
-    ``exhaustive`` (every subset of at least ``smallest`` models).
+    ``method``: ``grid`` (all models), ``random`` (all models, seeded trials),
+    ``exhaustive`` (every subset of at least ``smallest`` models) or ``optimal`` (the
+    minimum over all weights, not only those of a grid).
     """
     models = list(validation)
     stacked = stack_models(validation)
@@ -43,6 +46,9 @@ def choose_weights(
         members = list(subsets(models, smallest)[best["subset_no"] - 1])
     else:
         aligned = align_forecasts(stacked, models)
+        if method == "optimal":
+            found = optimal_weights(aligned, models, metric).first()
+            return {m: found[f"w_{m}"] for m in models}
         if method == "grid":
             scored = score_weight_grid(aligned, models, steps, metric)
         elif method == "random":
@@ -60,19 +66,37 @@ def apply_weights(test: Mapping[str, DataFrame], weights: Mapping[str, float]) -
     return blend(align_forecasts(stack_models(members), list(weights)), weights)
 
 
+def _tall(blended: DataFrame, models: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """A row for each member and for the blend (``ensemble``)."""
+    members = [F.col(f"`pred_{m}`").alias(m) for m in models]
+    named = blended.select(*keep, "y_true", *members, F.col("y_pred").alias("ensemble"))
+    return unpivot_models(named, [*models, "ensemble"])
+
+
 def compare_members(
     blended: DataFrame, models: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """RMSE and MAE of each member and of the blend on the same rows."""
-    named = blended.select(
-        *by,
-        "y_true",
-        *[F.col(f"pred_{m}").alias(m) for m in models],
-        F.col("y_pred").alias("ensemble"),
+    return _tall(blended, models, by).groupBy(*by, "model").agg(
+        F.count(F.lit(1)).alias("n"),
+        scores.rmse("y_true", "y_pred").alias("rmse"),
+        scores.mae("y_true", "y_pred").alias("mae"),
     )
-    tall = unpivot_models(named, [*models, "ensemble"])
-    return tall.groupBy(*by, "model").agg(
+
+
+def blend_scores(
+    blended: DataFrame, models: Sequence[str], scale: DataFrame, series: str = SERIES
+) -> DataFrame:
+    """RMSE, MAE and MASE of each member and of the blend, per horizon and over all (``horizon_h`` NULL).
+
+    ``scale`` (see ``naive_scale``) is of the train rows of each series; a series without one has
+    no MASE. All levels come from one pass.
+    """
+    tall = _tall(blended, models, [series, "horizon_h"])
+    keys = [series, "model"]
+    scored = tall.groupingSets([[*keys, "horizon_h"], keys], *keys, "horizon_h").agg(
         F.count(F.lit(1)).alias("n"),
         scores.rmse("y_true", "y_pred").alias("rmse"),
         scores.mae("y_true", "y_pred").alias("mae"),
     )
+    return scored.join(scale, series, "left").withColumn("mase", F.col("mae") / F.col("scale")).drop("scale")

@@ -127,9 +127,14 @@ def read_future_weather(
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether the folder holds a finished Spark write: its ``_SUCCESS`` marker is there."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    from pyspark.errors import AnalysisException
+
+    try:  # a path is looked up when it is analysed, on any kind of session
+        return bool(spark.read.text(f"{path}/_SUCCESS").columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def read_or_build(

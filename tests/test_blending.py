@@ -127,7 +127,7 @@ def test_stacked_blend_refuses_a_missing_member(spark):
         blend_stacked(stack_models(_tables(spark)), weights, KEYS).collect()
 
 
-@pytest.mark.parametrize("method", ["grid", "exhaustive", "random"])
+@pytest.mark.parametrize("method", ["grid", "exhaustive", "random", "optimal"])
 def test_choose_and_apply(spark, method):
     tables = _tables(spark)
     weights = choose_weights(tables, method)
@@ -136,4 +136,4 @@ def test_choose_and_apply(spark, method):
     rows = {r.model: r for r in compare_members(made, list(weights)).collect()}
     assert set(rows) == {"p", "q", "ensemble"}
     if method != "random":
-        assert weights == {"p": 0.5, "q": 0.5} and rows["ensemble"].rmse == pytest.approx(0)
+        assert weights == pytest.approx({"p": 0.5, "q": 0.5}) and rows["ensemble"].rmse == pytest.approx(0)
