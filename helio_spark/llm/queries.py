@@ -195,9 +195,9 @@ l AS (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS no FROM d)
 w AS (SELECT doc_id, no, regexp_extract_all(lower(lines[no]), '[^\x20\x09-\x0D]+') AS w FROM l),
 s AS (
   SELECT row_number() OVER (ORDER BY doc_id, no) AS r, doc_id, no,
-         list_distinct(list_transform(generate_series(1, len(w) - 4),
+         list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)),
            lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS t
-  FROM w WHERE len(w) >= 5),
+  FROM w WHERE len(w) > 0),
 g AS (SELECT r, len(t) AS n, unnest(t) AS t FROM s),
 gone AS (
   SELECT DISTINCT y AS r FROM (

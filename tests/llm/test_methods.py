@@ -27,15 +27,13 @@ def plain_hash(text):
 
 
 def plain_anchors(text, k, s):
-    """Closed syncmers: the least s-mer of a k-mer is its first or last."""
-    if len(text) < k:
-        return [(0, plain_hash(text))] if text else []
+    """Closed syncmers: the least s-mer of a k-mer is its first or last. A text without any is one anchor."""
     out = []
     for i in range(len(text) - k + 1):
         inner = [plain_hash(text[i + j : i + j + s]) for j in range(k - s + 1)]
         if min(inner) in (inner[0], inner[-1]):
             out.append((i, plain_hash(text[i : i + k])))
-    return out
+    return out or ([(0, plain_hash(text))] if text else [])
 
 
 def test_anchors_by_loop():

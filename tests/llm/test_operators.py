@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from helio_spark.llm.decontaminate import contamination_digest, decontaminate, f
 from helio_spark.llm.examples import labelled_examples
 from helio_spark.llm.line_dedup import dedup_lines
 from helio_spark.llm.mixing import mix
-from helio_spark.llm.ngram_join import near_duplicates, suffix_may_match
+from helio_spark.llm.ngram_join import PARITY, near_duplicates, parity_of, suffix_may_match
 from helio_spark.llm.queries import QUERIES
 from helio_spark.llm.token_counts import Counter, read_merges, token_counts
 from helio_spark.llm.warc import chunked, page_digest, parse, read_warc, unchunked, write_warc
@@ -72,6 +74,27 @@ def test_empty_tables(spark, tmp_path):
         assert got.count() == 0, name
 
 
+def test_equal_rows_are_mixed_each(spark):
+    rows = [(7, "w " * 3, "en", "a", 6)] * 600 + [(i, "w " * 5, "en", "b", 10) for i in range(1000, 1100)]
+    for parts in (1, 7):
+        got = mix(spark.createDataFrame(rows, DOCS).repartition(parts)).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+        assert {r.source: abs(r.taken - r.target) <= {"a": 3, "b": 5}[r.source] for r in got} == {"a": True, "b": True}
+
+
+def test_tilt_solves_the_dual(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(["w"] * (1 + int(rng.expovariate(0.02)))), "en", rng.choice("abcde"), 0) for i in range(3000)]
+    rows = mix(spark.createDataFrame(docs, DOCS)).collect()
+    for source in "abcde":
+        own = [r for r in rows if r.source == source]
+        assert sum(r.rate * r["size"] for r in own) == pytest.approx(own[0].target, rel=1e-6)  # the token constraint
+        fit = [(r["size"], math.log(r.rate)) for r in own if r.rate < 3]
+        if len(fit) > 2:  # an exponential tilt: log rate is a line in size
+            (x0, y0), (x1, y1) = min(fit), max(fit)
+            slope = (y1 - y0) / max(1, x1 - x0)
+            assert all(y == pytest.approx(y0 + slope * (x - x0), abs=1e-6) for x, y in fit)
+
+
 def test_mix_follows_targets(spark):
     rng = random.Random(4)
     sizes = {"a": 300, "b": 200, "c": 100, None: 5}
@@ -106,10 +129,40 @@ def test_lines(spark):
     )
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.extra) for r in dedup_lines(docs).collect()}
     assert got == {
-        1: (" ".join(long) + "\nshort line", 2, 0, "y"), 2: ("short line\nlast", 3, 1, "x"), 3: (None, 0, 0, "z"), 4: ("", 1, 1, "v"),
+        1: (" ".join(long) + "\nshort line", 2, 0, "y"), 2: ("last", 3, 2, "x"), 3: (None, 0, 0, "z"), 4: ("", 1, 1, "v"),
     }
 
 
+def test_lines_by_loop_over_all_pairs(spark):
+    rng = random.Random(8)
+    pool = [words(i, rng.randrange(0, 45), 60) for i in range(40)]
+
+    def line():
+        out = list(rng.choice(pool))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            if out:
+                out[rng.randrange(len(out))] = f"W{rng.randrange(9)}é"
+        return rng.choice(["", "  ", "\t"]).join([" ".join(out), ""])
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(0, 9)))) for i in range(60)] + [(90, ""), (91, None), (92, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_o", "o", "k", "nos", "h1", "slot"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = {r.doc_id: r for r in dedup_lines(docs.repartition(5)).collect()}
+    seen = []
+    for i, text in sorted(rows):
+        kept, lines = [], [] if text is None else text.split("\n")
+        for one in lines:
+            w = one.lower().split()
+            own = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+            if not own or not any(4 * len(own & x) >= 3 * len(own | x) for x in seen):
+                kept.append(one)
+            seen += [own] if own else []
+        r = got[i]
+        assert (r.text, r.n_lines, r.n_removed) == (None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)), i
+        assert r["_o"] == "_o" and r["nos"] == "nos"
+
+
 def test_fingerprints_by_brute_force(spark):
     texts = [" ".join(words(i, 5 + 40 * (i % 4))) for i in range(60)] + ["", None, "ab", "ab"]
     docs = spark.createDataFrame([(7 * i, t, None, None, 0) for i, t in enumerate(texts)], DOCS).repartition(6)
@@ -262,3 +315,15 @@ def test_words_of_the_mix(spark):
     texts = {r.doc_id: r.text for r in odd_docs(spark).collect()}
     for r in got:
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or ""))
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 700):
+        a = rng.integers(-(2**63), 2**63 - 1, n)
+        b = np.concatenate([a[: n * 3 // 4], rng.integers(-(2**63), 2**63 - 1, n // 4 + 1)])
+        x, y = parity_of(a), parity_of(b)
+        assert len(x) == PARITY // 64
+        distance = sum(int(u ^ v).bit_count() for u, v in zip(x.view(np.uint64), y.view(np.uint64)))
+        assert distance <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert parity_of(rng.permutation(a)).tolist() == x.tolist()
