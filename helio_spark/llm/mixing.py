@@ -22,6 +22,7 @@ from helio_spark.session import materialize
 CAP, STEPS, TOLERANCE = 3.0, 40, 1e-9
 #: Levels of one round of correcting the rounding, and rounds: levels ** rounds is the finest step.
 LEVELS, ROUNDS = 256, 3
+SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -62,6 +63,29 @@ def water_filled(sizes: DataFrame, weights: tuple[float, ...], cap: float = CAP)
     )
 
 
+def _by_source(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Join a stored table of a row for each source; up to a million sources it is broadcast, so no row moves."""
+    return rows.join(F.broadcast(small) if small.count() <= SOURCES else small, "g", how)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``nth`` with the place of a row among its equals, so that each is rounded on its own.
+
+    Equals are counted slice by slice (``slice``, the task that stored them) and the counts are
+    chained, so a row that makes up a third of the table is spread over its slices. Which of
+    two equal rows comes first makes no difference to the rows that come out.
+    """
+    counts = rows.groupBy("nth", "slice").agg(F.count(F.lit(1)).alias("own"))
+    upto = Window.partitionBy("nth").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("nth")
+    starts = counts.withColumns({"first": F.coalesce(F.sum("own").over(upto), F.lit(0)), "all": F.sum("own").over(every)})
+    starts = materialize(starts.where("all > 1").select("nth", "slice", "first"), "equals")
+    several = rows.join(starts, ["nth", "slice"])
+    place = F.row_number().over(Window.partitionBy("nth", "slice").orderBy(F.lit(0))) + F.col("first")
+    again = several.withColumn("nth", F.xxhash64("nth", place)).drop("first")
+    return rows.join(starts, ["nth", "slice"], "left_anti").unionByName(again).drop("slice")
+
+
 def balance(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int = STEPS) -> DataFrame:
     """Tilts (g, a, b, mean) of the sources that solve the dual.
 
@@ -77,12 +101,13 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int =
     known = targets.where("total > 0 and target > 0").select(
         "g", (F.col("total") / F.col("n")).alias("mean"), "target", "docs"
     )
-    tilt = known.select("*", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    sums = lambda c, name: F.sum(F.col("n") * c).alias(name)
+    tilt = known.select("*", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("off"))
+    # decimal sums don't depend on the order of tasks, so reruns take the same steps
+    sums = lambda c, name: F.sum((F.col("n") * c).cast("decimal(38,12)")).cast("double").alias(name)
+    tilt = materialize(tilt, "tilts")
     for _ in range(steps):
-        tilt = materialize(tilt, "tilts")
         step = (
-            sizes.join(tilt, "g")
+            _by_source(sizes, tilt)
             .groupBy("g")
             .agg(
                 sums(rate, "r0"), sums(rate * x, "r1"), sums(free, "h0"), sums(free * x, "h1"), sums(free * x * x, "h2"),
@@ -106,10 +131,15 @@ def balance(sizes: DataFrame, targets: DataFrame, cap: float = CAP, steps: int =
             "tilts",
         )
         worst = tilt.agg(F.max("off")).first()[0]
-        tilt = tilt.drop("off")
         if worst is None or worst < TOLERANCE:
             break
-    return tilt.select("g", "a", "b", "mean")
+    # one rate for all documents of a source meets both of its sums: what a source without convergence gets
+    even = F.log(F.col("target") / F.col("total"))
+    far = F.col("off") >= TOLERANCE
+    known = targets.select("g", "total")
+    return _by_source(tilt, known).select(
+        "g", F.when(far, even).otherwise(F.col("a")).alias("a"), F.when(far, F.lit(0.0)).otherwise(F.col("b")).alias("b"), "mean"
+    )
 
 
 def _turned(rows: DataFrame, targets: DataFrame, cap: float, digit: int) -> DataFrame:
@@ -130,14 +160,14 @@ def _turned(rows: DataFrame, targets: DataFrame, cap: float, digit: int) -> Data
     way = F.when(up, 1.0 - F.col("u")).otherwise(F.col("u"))
     able = F.when(up, F.col("copies") + 1 <= cap).otherwise(F.col("copies") > 0) & ~F.col("turned")
     level = F.when(able, F.least(F.floor(way * float(LEVELS) ** digit), F.lit(LEVELS - 1 if digit == 1 else 2**62)))
-    marked = rows.join(gap, "g").withColumn("level", level)
+    marked = _by_source(rows, gap).withColumn("level", level)
     # only the lowest levels can be reached in later rounds: what the round before left is below one of its levels
     per = marked.where("level is not null").groupBy("g", "level").agg(F.sum("size").alias("tokens"), F.first("gap").alias("gap"))
     first = per.groupBy("g").agg(F.min("level").alias("low"))
     per = per.join(first, "g").where(F.col("level") < F.col("low") + LEVELS)
     run = F.sum("tokens").over(Window.partitionBy("g").orderBy("level"))
     taken = per.withColumn("run", run).where(F.col("run") <= F.abs("gap")).groupBy("g").agg(F.max("level").alias("until"))
-    done = marked.join(taken, "g", "left")
+    done = _by_source(marked, materialize(taken, "taken"), "left")
     turn = F.coalesce(F.col("level") <= F.col("until"), F.lit(False))
     return materialize(
         done.select(
@@ -162,13 +192,13 @@ def _last(rows: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     able = F.when(up, F.col("copies") + 1 <= cap).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
     miss = F.abs(F.abs("gap") - F.col("size"))
     pick = (
-        rows.join(gap, "g").where(able & (miss < F.abs("gap")))
+        _by_source(rows, gap).where(able & (miss < F.abs("gap")))
         .groupBy("g", "gap")
         .agg(F.min(F.struct(miss.alias("miss"), F.col("nth").alias("pick"))).alias("best"))
         .select("g", F.col("best.pick").alias("pick"), F.signum("gap").cast("int").alias("sign"))
     )
     pick = materialize(pick, "picks")
-    return rows.join(pick, "g", "left").withColumn(
+    return _by_source(rows, pick, "left").withColumn(
         "copies", F.col("copies") + F.when(F.col("nth") == F.col("pick"), F.col("sign")).otherwise(0)
     ).drop("pick", "sign")
 
@@ -187,8 +217,8 @@ def mix(
     Sources by code point, null last, weigh ``weights`` in turn and share all
     sizes; no target is over ``cap`` times its source. ``taken`` is copies x size.
     Repeated rows are mixed each; equal ones (id, text) may get different copies.
-    Copies depend on ids, sizes and sources only, so reruns agree. An empty table
-    gives no rows.
+    Copies depend on ids, texts and sources only, and sums are exact, so reruns agree. An
+    empty table gives no rows.
 
     The text is read once; all later work is on narrow stored rows. Sums by source
     are partial before they are shuffled, so a hot source costs a task no more.
@@ -197,10 +227,12 @@ def mix(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).alias("source"), group_key(F.col(source_col)).alias("g"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col), F.col(text_col), F.lit("nth")).alias("nth"),
+            F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col), F.lit("nth")).alias("nth"),
+            F.spark_partition_id().alias("slice"),
         ),
         "sizes",
     )
+    rows = materialize(_numbered(rows), "sizes")
     sizes = materialize(rows.groupBy("g", "size").agg(F.count(F.lit(1)).alias("n")), "size-counts")
     # a source's number of documents counts those that have words
     per_source = sizes.groupBy("g").agg(
@@ -212,7 +244,7 @@ def mix(
     targets = materialize(targets, "targets")
     tilts = balance(sizes.where("size > 0"), targets, cap)
     eta = F.col("a") + F.col("b") * F.col("size") / F.col("mean")
-    rated = rows.join(tilts, "g", "left").withColumn(
+    rated = _by_source(rows, materialize(tilts, "tilts"), "left").withColumn(
         "rate", F.when(F.col("a").isNull() | (F.col("size") == 0), 0.0).otherwise(F.least(F.exp(eta), F.lit(cap)))
     )
     chance = F.pmod(F.xxhash64("id", "nth"), F.lit(2**52)) / float(2**52)
@@ -225,7 +257,7 @@ def mix(
     for digit in range(1, ROUNDS + 1):
         copies = _turned(copies, targets, cap, digit)
     copies = _last(copies, targets, cap)
-    return copies.join(targets, "g").select(
+    return _by_source(copies, targets).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "size", F.col("total").alias("source_size"),
         "target", "rate", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"),
     )
