@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helio_spark.llm import text as t
-from helio_spark.llm.text import mixed, powers, slices, utf8
+from helio_spark.llm.text import powers, slices, utf8
 from helio_spark.session import materialize
 
 LENGTH = 50
@@ -62,9 +62,9 @@ OUT = "n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def _rolled(data: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the ``n`` bytes from each place."""
+    """Hash of the ``n`` bytes from each place; its upper bits are the best."""
     places = max(0, len(data) - n + 1)
-    return mixed((total[n:][:places] - total[:places]) * powers(t._INVERSE, places or 1)[:places])
+    return (total[n:][:places] - total[:places]) * powers(t._INVERSE, places or 1)[:places]
 
 
 def _least_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -127,7 +127,7 @@ class Parse:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(t._BYTE_VALUES[data] * powers(t._BASE, len(data)), out=total[1:])
         cut = np.zeros(len(data) + 1, np.int64)
-        cut[: len(data) - TRIGGER + 1] = _rolled(data, total, TRIGGER) % np.uint64(self.sizes.phrase) == 0
+        cut[: len(data) - TRIGGER + 1] = _rolled(data, total, TRIGGER) < np.uint64(2**64 // self.sizes.phrase)
         cut[begins] = 1
         phrase = np.cumsum(cut)[at]
         new = np.ones(len(at), bool)
@@ -324,14 +324,22 @@ def _owned(parse: Parse, phrases: Records, ids: np.ndarray, answers) -> np.ndarr
 
 
 class Anchors(Records):
-    """Distinct anchors of a batch's owned runs."""
+    """Distinct anchors of a batch's owned runs: how many runs have each, and whether two documents do."""
 
     def __init__(self, anchor: np.ndarray, ids: np.ndarray, ranges: int):
-        super().__init__(np.stack([anchor, np.zeros_like(anchor)], axis=1), ids, ranges)
-        self.count = np.bincount(self.of, minlength=len(self.one))
-        other = np.zeros(len(self.one), bool)
-        other[self.of[ids != self.id[self.of]]] = True
-        self.two = other
+        order = np.argsort(anchor, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = anchor[order[1:]] != anchor[order[:-1]]
+        edge = np.flatnonzero(new)
+        self.one = order[edge]
+        self.low = anchor[self.one].astype(np.uint32)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.count = np.diff(np.append(edge, len(order)))
+        other = np.zeros(len(order), bool)
+        other[1:] = ids[order[1:]] != ids[order[:-1]]
+        self.two = np.add.reduceat((other & ~new).astype(np.int64), edge) > 0 if len(edge) else np.zeros(0, bool)
+        self.part = ((anchor[self.one] >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
 
 
 class Runs:
@@ -397,8 +405,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mine = owned[parse.run_phrase]
             anchors = Anchors(parse.anchor[mine], batch.ids[parse.run_doc[mine]], ranges)
             info = (np.minimum(anchors.count, MANY) | anchors.two.astype(np.int64) << 7).astype(np.uint8)
-            low = anchors.key[:, 0].astype(np.uint32)
-            yield _sent([(p, 0, row["batch"], low[w].tobytes(), None, info[w].tobytes()) for p, w in anchors.parts()])
+            yield _sent([(p, 0, row["batch"], anchors.low[w].tobytes(), None, info[w].tobytes()) for p, w in anchors.parts()])
 
     def found_runs(row) -> tuple[Batch, Parse, np.ndarray, Runs]:
         batch = Batch(row)

@@ -298,7 +298,28 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
-@query("op12_phrase_dedup")
+#: Texts in hex, so that a place is a byte.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM (SELECT *, unnest(generate_series(0, strlen(h) // 2 - 50)) AS i FROM d WHERE strlen(h) >= 100 AND doc_id IS NOT NULL)),
+m AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s),
+hit AS (SELECT r, i FROM w JOIN m USING (s) WHERE doc_id > owner),
+fresh AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS no FROM fresh),
+span AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY r, no),
+gap AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM span
+  UNION ALL SELECT d.r, coalesce(max(b), 0), any_value(strlen(h)) // 2 FROM d LEFT JOIN span USING (r) GROUP BY d.r),
+kept AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gap JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)"""
+
+
+@query("op12_phrase_dedup", REPEATS_SQL)
 def op12_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"), length=50)
     return kept.select(
