@@ -69,7 +69,9 @@ class Voters:
         n = len(x)
         self.weight = np.log((1 + n) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         self.centre = (x * self.weight).mean(0)
-        scaled = x * self.weight - self.centre
+        scaled = x  # in place: one copy of the examples on the driver
+        scaled *= self.weight
+        scaled -= self.centre
         _, _, axes = np.linalg.svd(scaled.T @ scaled, hermitian=True)
         self.axes = axes[:latent].T.astype(np.float32)
         self.label = label.astype(np.float32)
@@ -96,18 +98,28 @@ def fit(examples: DataFrame, features: int = FEATURES) -> Voters | None:
     """Voters of stored (text, label) examples, which are bounded; None without any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = shape_histograms(batch.column(0), features)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "label", "id"]
-            )
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(i, BLOCK)
+                x = shape_histograms(batch.column(0), features)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "label", "id"]
+                )
 
     got = examples.select("text", "label", "id").mapInArrow(run, "x binary, label double, id long").toArrow()
     if not len(got):
         return None
-    got = got.sort_by("id")
-    x = np.stack([np.frombuffer(v, np.float32) for v in got.column("x").to_pylist()])
-    return Voters(x, got.column("label").to_numpy())
+    order = np.argsort(got.column("id").to_numpy(), kind="stable")
+    label = got.column("label").to_numpy()[order]
+    x = np.empty((len(order), features), np.float32)
+    place = np.argsort(order)
+    at = 0
+    for chunk in got.column("x").chunks:
+        for v in chunk:
+            x[place[at]] = np.frombuffer(v.as_buffer(), np.float32)
+            at += 1
+    del got
+    return Voters(x, label)
 
 
 def score_quality(docs: DataFrame, voters: Voters | None, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -125,7 +137,9 @@ def score_quality(docs: DataFrame, voters: Voters | None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = shared.value
         for batch in batches:
-            score = voters.scores(shape_histograms(batch.column(at))) if voters else np.full(batch.num_rows, 0.5)
+            score = np.full(batch.num_rows, 0.5)
+            for i in range(0, batch.num_rows if voters else 0, BLOCK):  # histograms of a block only are held
+                score[i : i + BLOCK] = voters.scores(shape_histograms(batch.column(at).slice(i, BLOCK)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, docs.withColumn(name, F.lit(0.0)).schema)
