@@ -14,7 +14,7 @@ from helio_spark.functions.solar import RATED_KW
 from helio_spark.operators.forecasts import Persistence, RecentMean, long_forecasts
 from helio_spark.operators.ordering import index_hourly, index_rows
 from helio_spark.operators.splits import split_rows
-from helio_spark.session import use_utc
+from helio_spark.session import materialize, use_utc
 
 HORIZON = 24
 BLEND_HORIZON = 24
@@ -112,8 +112,11 @@ def forecasts(
 def model_tables(
     spark: SparkSession, sf_dir: str, split: str | None = None
 ) -> dict[str, DataFrame]:
-    """The three as separate forecast tables; ``week`` starts later than ``day``."""
-    wide = forecasts(spark, sf_dir, BLEND_HORIZON, splits=split is not None)
+    """The three as separate forecast tables; ``week`` starts later than ``day``.
+
+    Stored once, as forecasts of models are, so that the three do not unroll them three times.
+    """
+    wide = materialize(forecasts(spark, sf_dir, BLEND_HORIZON, splits=split is not None), "forecasts")
     if split is not None:
         wide = wide.where(F.col("split") == split)
     keys = ["series_id", "time_idx", "origin_ts", "forecast_ts", "horizon_h", "y_true"]
