@@ -74,14 +74,15 @@ def blend_stacked(
     """
     table = weight_table(weights)
     made = {m: F.when(F.col("model") == m, F.col("y_pred")) for m in table}
-    weighted = F.col("model").isin(list(table))
+    # a number, because a name as order would make the aggregate sort all rows
+    rank = F.coalesce(*[F.when(F.col("model") == m, F.lit(i)) for i, m in enumerate(table)])
     total = F.lit(0.0)
     for m, w in table.items():
         total = total + _pred(m) * F.lit(float(w))
     wrong = F.raise_error(F.lit("a forecast lacks a weighted model, or has one twice")).cast("double")
     # aggregates of the whole key, so that one without any weighted model is seen
     rows = stacked.groupBy(*keys).agg(
-        F.min_by("y_true", F.when(weighted & F.col("y_true").isNotNull(), F.col("model"))).alias("y_true"),
+        F.min_by("y_true", F.when(F.col("y_true").isNotNull(), rank)).alias("y_true"),
         *[F.max(c).alias(f"pred_{m}") for m, c in made.items()],
         *[F.count(c).alias(f"_n_{m}") for m, c in made.items()],
     )
