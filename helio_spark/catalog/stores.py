@@ -19,7 +19,7 @@ from helio_spark.catalog.inputs import (
 )
 from helio_spark.catalog.registry import query
 from helio_spark.operators.blending import blend_stacked
-from helio_spark.operators.forecasts import KEYS, micro_and_horizon_metrics, unpivot_models
+from helio_spark.operators.forecasts import PLACES, micro_and_horizon_metrics, unpivot_models
 from helio_spark.session import shared_dir
 from helio_spark.sources.readers import (
     read_forecasts,
@@ -155,5 +155,5 @@ def weight_store(spark, sf_dir):
     path = _new_path(spark, "weights")
     write_weights(spark, {"day": 0.7, "mean": 0.3}, path)
     rows = forecasts(spark, sf_dir).where(F.col("day").isNotNull())
-    stacked = unpivot_models(rows.select(*KEYS, "y_true", "day", "mean"), ["day", "mean"])
-    return tidy(blend_stacked(stacked, read_weights(spark, path), KEYS))
+    stacked = unpivot_models(rows.select(*PLACES, "y_true", "day", "mean"), ["day", "mean"])
+    return tidy(blend_stacked(stacked, read_weights(spark, path), PLACES).drop("time_idx"))

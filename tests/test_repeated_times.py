@@ -24,7 +24,7 @@ def twice(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["blend_stacked"])
+@pytest.mark.parametrize("name", ["blend_stacked", "weight_store"])
 def test_origins_of_one_time_stay_apart(spark, twice, name):
     con = duckdb.connect()
     con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM read_parquet('{twice}/events.parquet')")
