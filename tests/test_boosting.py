@@ -159,3 +159,31 @@ def test_odd_tables(spark):
             Spec(0, **bad)
     with pytest.raises(ValueError):
         fit_boosted(df, FEATURES, ["t1"], horizon_specs(2), F.col("segment"))
+
+
+def test_scores_are_not_stored_before_trees_are_added_to_them(spark, monkeypatch):
+    """A pass over few trees reads the narrow rows: no number for each model and row."""
+    stored = []
+    real = boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, label: stored.append((label, dict(df.dtypes))) or real(df, label))
+    df = spark.createDataFrame(sample(200), SCHEMA)
+    fit_boosted(df, FEATURES, ["t1"], [Spec(0, trees=boosting.PENDING, leaves=3, rate=0.5, min_rows=5)], F.col("segment"), bins=8)
+    assert [label for label, _ in stored] == ["binned"]
+    assert stored[0][1]["codes"] == stored[0][1]["y"] == "binary"
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 16, 17, 70])
+def test_leaves_are_those_of_a_walk(leaves):
+    rng = random.Random(leaves)
+    tree = boosting.Tree()
+    while tree.feature.count(-1) < leaves:
+        node = rng.choice([n for n, f in enumerate(tree.feature) if f < 0])
+        tree.split(node, rng.randrange(3), rng.randrange(12))
+    tree.value = [float(n) for n in range(len(tree.feature))]
+    codes = [[rng.randrange(14) for _ in range(3)] for _ in range(500)]
+    found = boosting._Leaves(tree).predict(boosting.np.array(codes, boosting.np.intp).T)
+    for row, value in zip(codes, found):
+        node = 0
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if row[tree.feature[node]] <= tree.code[node] else tree.right[node]
+        assert value == node
