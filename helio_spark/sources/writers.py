@@ -27,9 +27,10 @@ def write_processed(df: DataFrame, path: str, by: Sequence[str] = (SERIES,)) ->
 
 
 def write_forecasts(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    """A row for each origin and horizon. Text is compressed: it repeats its keys in every row."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt in ("csv", "json"):
-        writer = writer.option("timestampFormat", TEXT_TIME)
+        writer = writer.option("timestampFormat", TEXT_TIME).option("compression", "gzip")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.save(path)

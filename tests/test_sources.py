@@ -109,3 +109,17 @@ def test_metrics_and_weights(spark, tmp_path):
     assert spark.read.schema(metrics.schema).json(str(tmp_path / "m")).collect() == metrics.collect()
     write_weights(spark, {"p": 0.25, "q": 0.75}, str(tmp_path / "w"))
     assert {r.model: r.weight for r in read_weights(spark, str(tmp_path / "w")).collect()} == {"p": 0.25, "q": 0.75}
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_stored_text_of_forecasts_is_compressed(spark, tmp_path, fmt):
+    path = str(tmp_path / f"f.{fmt}")
+    df = spark.range(2000).selectExpr(
+        "'a' series_id", "id time_idx", "timestamp_seconds(id) origin_ts", "timestamp_seconds(id + 3600) forecast_ts", "1 horizon_h", "id / 7 y_true", "id / 9 y_pred"
+    )
+    write_forecasts(df, path, fmt)
+    parts = [p for p in (tmp_path / f"f.{fmt}").iterdir() if p.name.startswith("part-")]
+    assert parts and all(p.name.endswith(f".{fmt}.gz") for p in parts)
+    assert sum(p.stat().st_size for p in parts) < 2000 * 40
+    read = read_forecasts(spark, path, "m").select("time_idx", "y_pred").collect()
+    assert sorted((r.time_idx, r.y_pred) for r in read) == [(i, i / 9) for i in range(2000)]
