@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helio_spark.operators.clean import row_by
 from helio_spark.operators.ordering import IDX, SERIES, TS
-from helio_spark.operators.row_frames import with_row_frames
+from helio_spark.operators.row_frames import row_blocks
 
 
-def _rows_of(cols: Sequence[str], frame: WindowSpec) -> Column:
-    """The frame's rows as an array of float structs; a struct keeps NULLs."""
-    return F.collect_list(F.struct(*[F.col(c).cast("float").alias(c) for c in cols])).over(frame)
+def _floats(cols: Sequence[str]) -> Column:
+    """A row's values as a struct of floats; a struct keeps NULLs."""
+    return F.struct(*[F.col(c).cast("float").alias(c) for c in cols])
 
 
-def _values(rows: str, col: str) -> Column:
-    return F.transform(F.col(rows), lambda r: r[col])
+def _sliced(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    branches: Mapping[str, tuple[str, bool]],
+    seq_len: int,
+    horizon: int,
+    keys: Sequence[str],
+    idx: str,
+    ts: str | None = None,
+) -> DataFrame:
+    """``keys``, origin_ts (with ``ts``), ``idx`` and ``branches`` of every origin that has all its rows.
+
+    A branch names a column of ``values`` and whether it takes the ``horizon`` rows ahead or the
+    ``seq_len`` rows up to the origin. A block's rows are collected and sorted once, and each
+    origin takes its slices of them: a sliding frame would collect every row ``seq_len`` times.
+    """
+    if seq_len < 1 or horizon < 1:
+        raise ValueError("seq_len and horizon must be at least 1")
+    head = {"_i": F.col(idx), "_s": F.col("_shift")} | ({"_ts": F.col(ts)} if ts else {})
+    row = F.struct(*[c.alias(n) for n, c in (head | dict(values)).items()])
+    blocks = row_blocks(df, seq_len, horizon, idx).groupBy(*keys, "_block").agg(
+        F.sort_array(F.collect_list(row)).alias("_rows")
+    )
+    arrays = blocks.select(*keys, *[F.col("_rows")[n].alias(n) for n in (*head, *values)])
+    origins = arrays.select(
+        *keys, *values, F.size("_i").alias("_n"), F.posexplode(F.arrays_zip(*head)).alias("_p", "_o")
+    ).where((F.col("_o._s") == 0) & (F.col("_p") >= seq_len - 1) & (F.col("_p") + horizon < F.col("_n")))
+    made = [
+        F.slice(rows, F.col("_p") + 2, horizon) if ahead else F.slice(rows, F.col("_p") - (seq_len - 2), seq_len)
+        for rows, ahead in branches.values()
+    ]
+    at = [F.col("_o._ts").alias("origin_ts")] if ts else []
+    return origins.select(*keys, *at, F.col("_o._i").alias(idx), *[c.alias(n) for n, c in zip(branches, made)])
 
 
 def make_windows(
@@ -36,21 +67,8 @@ def make_windows(
     Multiplies the data by ``seq_len``; make it the last step before an export.
     """
     keys = [series] if isinstance(series, str) else list(series)
-    made = with_row_frames(
-        df,
-        lambda w: {
-            "x": _rows_of(features, w.rowsBetween(1 - seq_len, 0)),
-            "_next": _rows_of([target], w.rowsBetween(1, horizon)),
-        },
-        back=seq_len,
-        fwd=horizon,
-        series=series,
-        idx=idx,
-    )
-    full = (F.size("x") == seq_len) & (F.size("_next") == horizon)
-    return made.where(full).select(
-        *keys, F.col(ts).alias("origin_ts"), idx, "x", _values("_next", target).alias("y")
-    )
+    values = {"_x": _floats(features), "_y": F.col(target).cast("float")}
+    return _sliced(df, values, {"x": ("_x", False), "y": ("_y", True)}, seq_len, horizon, keys, idx, ts)
 
 
 def make_fusion_windows(
@@ -64,29 +82,9 @@ def make_fusion_windows(
     idx: str = IDX,
 ) -> DataFrame:
     """Three branches per origin: target history, weather history, weather ahead."""
-    made = with_row_frames(
-        df,
-        lambda w: {
-            "_past": _rows_of([target], w.rowsBetween(1 - seq_len, 0)),
-            "x_weather": _rows_of(weather, w.rowsBetween(1 - seq_len, 0)),
-            "x_future": _rows_of(weather, w.rowsBetween(1, horizon)),
-            "_next": _rows_of([target], w.rowsBetween(1, horizon)),
-        },
-        back=seq_len,
-        fwd=horizon,
-        series=series,
-        idx=idx,
-    )
-    full = (F.size("_past") == seq_len) & (F.size("_next") == horizon)
-    return made.where(full).select(
-        series,
-        F.col(ts).alias("origin_ts"),
-        idx,
-        _values("_past", target).alias("x_target"),
-        "x_weather",
-        "x_future",
-        _values("_next", target).alias("y"),
-    )
+    values = {"_x": _floats(weather), "_y": F.col(target).cast("float")}
+    branches = {"x_target": ("_y", False), "x_weather": ("_x", False), "x_future": ("_x", True), "y": ("_y", True)}
+    return _sliced(df, values, branches, seq_len, horizon, [series], idx, ts)
 
 
 def make_encoder_samples(
@@ -105,22 +103,9 @@ def make_encoder_samples(
     Samples stay inside their split: its first ``seq_len - 1`` rows are context.
     """
     past = list(dict.fromkeys([*known, *unknown, target]))
-    made = with_row_frames(
-        df,
-        lambda w: {
-            "encoder": _rows_of(past, w.rowsBetween(1 - seq_len, 0)),
-            "decoder": _rows_of(known, w.rowsBetween(1, horizon)),
-            "_next": _rows_of([target], w.rowsBetween(1, horizon)),
-        },
-        back=seq_len,
-        fwd=horizon,
-        series=(series, split),
-        idx=idx,
-    )
-    full = (F.size("encoder") == seq_len) & (F.size("_next") == horizon)
-    return made.where(full).select(
-        series, split, idx, "encoder", "decoder", _values("_next", target).alias("y")
-    )
+    values = {"_x": _floats(past), "_known": _floats(known), "_y": F.col(target).cast("float")}
+    branches = {"encoder": ("_x", False), "decoder": ("_known", True), "y": ("_y", True)}
+    return _sliced(df, values, branches, seq_len, horizon, [series, split], idx)
 
 
 def latest_origin(

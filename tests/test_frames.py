@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from helio_spark.catalog import QUERIES
+from helio_spark.catalog.frames import _digests
 from helio_spark.operators.framing import make_encoder_samples, make_fusion_windows, make_windows
 from helio_spark.operators.history import (
     add_history,
@@ -190,3 +194,49 @@ def test_fold_segments_say_what_walk_forward_repeats(spark):
         slow = naive_scale(repeated.where("role = 'train'"), by=("series_id", "fold")).collect()
         assert scales.keys() == {(r.series_id, r.fold) for r in slow}
         assert all(scales[r.series_id, r.fold] == (None if r.scale is None else pytest.approx(r.scale)) for r in slow)
+
+
+def test_windows_collect_a_block_once(spark):
+    # a sliding frame would collect each row seq_len times
+    df = _stored(spark).withColumn("ts", F.timestamp_seconds("time_idx"))
+    split = df.withColumn("split", F.lit("all"))
+    for made in (
+        make_windows(df, ["pv"], 100, 7), make_fusion_windows(df, ["pv"], 100, 7), make_encoder_samples(split, ["pv"], ["time_idx"], 100, 7),
+    ):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window [" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_window_edges_by_loop(spark):
+    # several blocks, an even block edge, series of exactly and just under one window, null series and values
+    sizes = {"a": 9000, None: 4096, "b": 192, "c": 191}
+    value = lambda s, i: None if i % 7 == 3 else float((i * i) % 1000)
+    df = spark.createDataFrame([(s, i, value(s, i)) for s, n in sizes.items() for i in range(n)], "series_id string, time_idx long, pv double")
+    df = df.withColumn("ts", F.timestamp_seconds("time_idx")).repartition(5)
+    past = F.expr("transform(x, r -> r.pv)").alias("x")
+    got = {(r.series_id, r.time_idx): (r.x, r.y) for r in make_windows(df, ["pv"], 168, 24).select("series_id", "time_idx", past, "y").collect()}
+    assert len(got) == sum(max(0, n - 191) for n in sizes.values())
+    for (s, i), (x, y) in got.items():
+        assert x == [value(s, k) for k in range(i - 167, i + 1)] and y == [value(s, k) for k in range(i + 1, i + 25)]
+    with pytest.raises(ValueError):
+        make_windows(df, ["pv"], 0, 24)
+
+
+def test_window_digests(spark):
+    rows = [(1, [1.5, None, -0.25], [(2.0,), (None,)]), (2, [None], []), (3, [float("nan"), float("inf"), float("-inf"), 1e30, -1e30], [(0.0000006,)])]
+    made = spark.createDataFrame(rows, "time_idx long, y array<float>, x array<struct<`v`:float>>").repartition(1)
+    got = {r.time_idx: (r.a, r.b) for r in _digests(made, ["time_idx"], {"a": ("y", None), "b": ("x", "v")}).collect()}
+    top, low = 2**63 - 1, -(2**63)
+    want = {1: ("1500000,-250000", "2000000"), 2: ("", ""), 3: (f"0,{top},{low},{top},{low}", "1")}
+    assert got == {k: tuple(hashlib.md5(t.encode()).hexdigest() for t in v) for k, v in want.items()}
+
+
+def test_window_digests_are_not_interpreted(spark, tmp_path):
+    # a lambda over each window's values took most of the time of these queries
+    kind = F.when(F.col("id") % 3 > 0, "view").otherwise("click").alias("event_type")
+    spark.range(3000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 7).alias("user_id"), kind, F.sqrt("id").alias("value")
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("windows", "fusion_windows", "encoder_samples", "window_store", "encoder_store"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "transform(" not in plan and "MapInArrow" in plan, name
