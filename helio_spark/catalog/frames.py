@@ -163,32 +163,40 @@ def _digests(made: DataFrame, keep: list[str], columns: dict[str, tuple[str, str
     """``keep`` and for each of ``columns`` the MD5 of an array's values, or of one field of its structs, in millionths.
 
     In Arrow batches: a lambda over an array is interpreted, several times slower a value than the windows themselves.
+    A value is in many windows of a batch: each is written as text once, and the windows' texts are put together from those.
     """
 
-    def md5s(lists: pa.ListArray, field: str | None) -> list[str]:
+    def md5s(lists: pa.ListArray) -> list[str]:
         """Nulls are left out, NaN is 0, the ends of 64 bits hold."""
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-        values = lists.flatten() if field is None else lists.flatten().field(field)
-        known = values.is_valid().to_numpy(zero_copy_only=False)
-        if not known.all():
+        values = lists.flatten()
+        if values.null_count:
+            known = values.is_valid().to_numpy(zero_copy_only=False)
             ends, values = np.concatenate([[0], np.cumsum(known)])[ends], values.drop_null()
-        units = np.floor(values.to_numpy(zero_copy_only=False).astype(np.float64) * 1e6 + 0.5)
+        coded = values.dictionary_encode()
+        units = np.floor(coded.dictionary.to_numpy(zero_copy_only=False).astype(np.float64) * 1e6 + 0.5)
         inside = np.abs(units) < 2.0**63
         whole = np.where(inside, units, 0.0).astype(np.int64)
         if not inside.all():
             whole[units >= 2.0**63], whole[units <= -(2.0**63)] = np.iinfo(np.int64).max, np.iinfo(np.int64).min
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole).cast(pa.string())), ",")
-        return [hashlib.md5(text).hexdigest() for text in joined.cast(pa.binary()).to_pylist()]
+        texts = pc.binary_join_element_wise(pa.array(whole).cast(pa.string()), "", ",")  # a comma after each
+        _, starts, data = texts.take(coded.indices).buffers()
+        if not len(values):
+            return [hashlib.md5(b"").hexdigest()] * len(lists)
+        at = np.frombuffer(starts, np.int32)[ends].tolist()
+        text = memoryview(data)
+        return [hashlib.md5(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, _DIGEST_ROWS):
                 part = batch.slice(a, _DIGEST_ROWS)
-                made = [pa.array(md5s(part.column(array), field), pa.string()) for array, field in columns.values()]
+                made = [pa.array(md5s(part.column(name)), pa.string()) for name in columns]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *made], [*keep, *columns])
 
+    arrays = [(F.col(array) if field is None else F.col(array)[field]).alias(name) for name, (array, field) in columns.items()]
     schema = [f"`{c}` {made.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` string" for c in columns]
-    return tidy(made.mapInArrow(run, ", ".join(schema)))
+    return tidy(made.select(*keep, *arrays).mapInArrow(run, ", ".join(schema)))
 
 
 def _digest_sql(col: str, window: str) -> str:
@@ -215,7 +223,7 @@ def _plain_digests(made):
 @query("windows", f"WITH {RAW_SQL}, {_windows_sql(_PLAIN)}")
 def windows(spark, sf_dir):
     """A window of 168 rows and 24 targets for every event that has them."""
-    return _plain_digests(make_windows(raw(spark, sf_dir), ["pv", "value"], SEQ_LEN, HORIZON))
+    return _plain_digests(make_windows(raw(spark, sf_dir), ["pv", "value"], SEQ_LEN, HORIZON, by_column=True))
 
 
 @query("window_store", f"WITH {RAW_SQL}, {_windows_sql(_PLAIN)}")
@@ -235,7 +243,7 @@ _FUSION = {
 @query("fusion_windows", f"WITH {RAW_SQL}, {_windows_sql(_FUSION)}")
 def fusion_windows(spark, sf_dir):
     """The three branches and the target."""
-    made = make_fusion_windows(raw(spark, sf_dir), ["value", "user_id"], SEQ_LEN, HORIZON)
+    made = make_fusion_windows(raw(spark, sf_dir), ["value", "user_id"], SEQ_LEN, HORIZON, by_column=True)
     return _digests(made, ["series_id", "origin_ts", "time_idx"], {
         "past_pv": ("x_target", None), "past_value": ("x_weather", "value"), "past_user": ("x_weather", "user_id"),
         "future_value": ("x_future", "value"), "future_user": ("x_future", "user_id"), "target": ("y", None),
@@ -262,7 +270,7 @@ def _encoder_digests(made, encoder, decoder):
 @query("encoder_samples", _ENCODER_SQL)
 def encoder_samples(spark, sf_dir):
     rows = split_rows(raw(spark, sf_dir))
-    made = make_encoder_samples(rows, known=["value"], unknown=["user_id"], seq_len=SEQ_LEN, horizon=HORIZON)
+    made = make_encoder_samples(rows, known=["value"], unknown=["user_id"], seq_len=SEQ_LEN, horizon=HORIZON, by_column=True)
     return _encoder_digests(made, "encoder", "decoder")
 
 

@@ -21,7 +21,7 @@ from helio_spark.operators.history import (
     target_columns,
     var_columns,
 )
-from helio_spark.operators.row_frames import with_row_frames
+from helio_spark.operators.row_frames import row_blocks, with_row_frames
 from helio_spark.operators.scaling import apply_scaler, fit_scaler, window_count
 from helio_spark.operators.forecasts import fold_scales, naive_scale
 from helio_spark.operators.splits import fold_segments, split_rows, split_windows, walk_forward
@@ -240,3 +240,32 @@ def test_window_digests_are_not_interpreted(spark, tmp_path):
     for name in ("windows", "fusion_windows", "encoder_samples", "window_store", "encoder_store"):
         plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "transform(" not in plan and "MapInArrow" in plan, name
+
+
+def test_windows_by_column(spark):
+    # a slice of structs writes each of them for every origin
+    rows = [(s, i, None if i % 7 == 3 else float(i), float(i * i)) for s, n in (("a", 300), ("b", 9), ("c", 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "series_id string, time_idx long, pv double, temp double").withColumn("ts", F.timestamp_seconds("time_idx"))
+    split = df.withColumn("split", F.when(F.col("time_idx") < 150, "train").otherwise("test"))
+    makers = {
+        "x": lambda **o: make_windows(df, ["pv", "temp"], 10, 4, **o),
+        "x_future": lambda **o: make_fusion_windows(df, ["pv", "temp"], 10, 4, **o),
+        "encoder": lambda **o: make_encoder_samples(split, ["pv"], ["temp"], 10, 4, **o),
+    }
+    for branch, make in makers.items():
+        field = lambda c: F.col(branch)[c]
+        columns = ["series_id", "time_idx", field("pv").alias("p"), field("temp").alias("t"), "y"]
+        plain, flat = make(), make(by_column=True)
+        assert flat.schema[branch].dataType.simpleString() == "struct<pv:array<float>,temp:array<float>>"
+        want = sorted(map(str, plain.select(*columns).collect()))
+        assert len(want) > 200 and sorted(map(str, flat.select(*columns).collect())) == want
+
+
+def test_block_copies_are_not_interpreted(spark):
+    df = _series(spark, [float(i) for i in range(90)])
+    for back, fwd in ((5, 3), (5, 0), (0, 3), (20, 20)):
+        made = row_blocks(df, back, fwd, block_rows=20)
+        assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.time_idx, r._block, r._shift) for r in made.collect())
+        want = [(i, i // 20 + s, s) for i in range(90) for s in (0, 1, -1) if s == 0 or (s == 1 and i % 20 >= 20 - back) or (s == -1 and i % 20 < fwd)]
+        assert got == sorted(want)
