@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import math
 import random
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helio_spark.llm import language, quality, syncmers, toxicity
+from helio_spark.llm import language, line_dedup, quality, syncmers, toxicity
 from helio_spark.llm.components import connected
 from helio_spark.llm.decontaminate import contamination_digest, decontaminate, find_contamination
 from helio_spark.llm.examples import labelled_examples
@@ -327,3 +328,22 @@ def test_parity_never_exceeds_the_difference():
         distance = sum(int(u ^ v).bit_count() for u, v in zip(x.view(np.uint64), y.view(np.uint64)))
         assert distance <= len(set(a.tolist()) ^ set(b.tolist()))
         assert parity_of(rng.permutation(a)).tolist() == x.tolist()
+
+
+def test_lines_are_cut_once_a_pass(spark):
+    # a filter on the words was pushed below them, so that each line was cut twice
+    text = [" Same words in every Line\nan own line with the number 0 in it", "same words in every line\t\ntwo words\n \n", None, "a b c a b c a b c a b c"]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(2)
+    keyed = line_dedup._keyed(docs, "doc_id", "text")
+    tokens, ranks = line_dedup._with_tokens(keyed), line_dedup._ranks(keyed)
+    plan = line_dedup._postings(tokens, ranks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1
+    # the table counts each token of the lines, as often as a line has it
+    words = [w for t in text if t for line in t.split("\n") if (w := line.lower().split())]
+    count = collections.Counter(tuple(w[i : i + 5]) for w in words for i in range(max(len(w) - 4, 1)))
+    hashed = spark.createDataFrame([(list(t), n) for t, n in count.items()], "t array<string>, n int")
+    slot = F.pmod(F.xxhash64(F.transform("t", lambda w: F.xxhash64(w))), F.lit(line_dedup.COUNTS))
+    slots = {r.slot: r.n for r in hashed.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n")).collect()}
+    places = spark.range(1).select(ranks.alias("r")).first().r
+    order = sorted(slots, key=lambda s: (slots[s], s))
+    assert len(order) > 5 and [places[s] >> 48 for s in order] == list(range(len(order)))
