@@ -347,3 +347,23 @@ def test_lines_are_cut_once_a_pass(spark):
     places = spark.range(1).select(ranks.alias("r")).first().r
     order = sorted(slots, key=lambda s: (slots[s], s))
     assert len(order) > 5 and [places[s] >> 48 for s in order] == list(range(len(order)))
+
+
+def test_tokens_of_two_lines_that_cannot_match_are_left_out(spark):
+    # (token, text, size of its set, place in it): each such token was kept, and its lines were cut, sent and compared
+    rows = [
+        (1, 10, 8, 0), (1, 11, 20, 0),  # of unlike sizes
+        (2, 12, 8, 1), (2, 13, 8, 1),  # seven tokens may be shared: enough
+        (3, 12, 8, 2), (3, 13, 8, 2),  # six are not
+        (4, 14, 8, 0), (4, 14, 8, 0),  # one text twice
+        (5, 15, 8, 0), (5, 15, 8, 0), (5, 16, 8, 0), (6, 17, 3, 0),
+    ]
+    postings = spark.createDataFrame(rows, "token long, h1 long, n int, i int").repartition(3)
+    got = sorted((r.token, r.h1, r.many) for r in line_dedup._shared(postings).collect())
+    assert got == [(2, 12, False), (2, 13, False), (5, 15, True), (5, 16, True)]
+    # numbers that cannot be null are sorted as such; pairs of lines are stored, so that they are made once
+    docs = spark.createDataFrame([(1, "a b c d e f\tg\x0bh  i\rj\x0ck"), (2, "A B C D E F G H I J K")], "doc_id long, text string")
+    keyed = line_dedup._keyed(docs, "doc_id", "text")
+    ordered = line_dedup._postings(line_dedup._with_tokens(keyed), line_dedup._ranks(keyed))
+    assert not ordered.schema["token"].nullable
+    assert sorted(r.n_removed for r in dedup_lines(docs).collect()) == [0, 1]
