@@ -15,7 +15,7 @@ from helio_spark.operators.blending import (
     score_subsets,
     score_weight_grid,
 )
-from helio_spark.operators.forecasts import KEYS, PLACES, Persistence, RecentMean, align_forecasts, long_forecasts, naive_scale, stack_models, with_fallback
+from helio_spark.operators.forecasts import KEYS, PLACES, Persistence, RecentMean, align_forecasts, long_forecasts, made_by, naive_scale, stack_models, with_fallback
 from helio_spark.operators.optimum import optimal_weights
 from helio_spark.operators.splits import TRAIN, split_rows
 from helio_spark.plans.evaluation import apply_weights, blend_scores, choose_weights, compare_members
@@ -65,10 +65,9 @@ def stacked_blend(spark, sf_dir):
     """Long rows joined with a weight table, for forecasts that all members made."""
     tables = model_tables(spark, sf_dir)
     at = ["series_id", "time_idx", "horizon_h"]  # events of one time are origins of their own
-    both = tables["week"].select(*at)
     stacked = stack_models({"day": tables["day"], "week": tables["week"]}, PLACES)
     weights = spark.createDataFrame([("week", 0.25), ("day", 0.75)], "model string, weight double")
-    common = stacked.join(both, at, "left_semi")
+    common = made_by(stacked, "week", at)
     return tidy(blend_stacked(common, weights, PLACES).drop("time_idx"))
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helio_spark.operators.forecasts import PART
+
 WEIGHT_TOLERANCE = 1e-6
 MAX_MODELS = 1000
 #: Rows of a block that meet all grid points, and sums that a task holds.
@@ -70,8 +72,10 @@ def blend_stacked(
 
     A key that lacks a weighted model, or has one twice, fails the job; models
     without a weight are passed over. The truth is that of the first model by name
-    that has one. ``members`` adds the forecast of each model as ``pred_{model}``.
+    that has one. ``members`` adds the forecast of each model as ``pred_{model}``. Rows with
+    a ``PART`` are not shuffled for the aggregate.
     """
+    part = [PART] if PART in stacked.columns else []
     table = weight_table(weights)
     made = {m: F.when(F.col("model") == m, F.col("y_pred")) for m in table}
     # a number, because a name as order would make the aggregate sort all rows
@@ -81,13 +85,13 @@ def blend_stacked(
         total = total + _pred(m) * F.lit(float(w))
     wrong = F.raise_error(F.lit("a forecast lacks a weighted model, or has one twice")).cast("double")
     # aggregates of the whole key, so that one without any weighted model is seen
-    rows = stacked.groupBy(*keys).agg(
+    rows = stacked.groupBy(*keys, *part).agg(
         F.min_by("y_true", F.when(F.col("y_true").isNotNull(), rank)).alias("y_true"),
         *[F.max(c).alias(f"pred_{m}") for m, c in made.items()],
         *[F.count(c).alias(f"_n_{m}") for m, c in made.items()],
     )
     once = reduce(lambda a, b: a & b, [F.col(f"`_n_{m}`") == 1 for m in table])
-    rows = rows.withColumn("y_pred", F.when(once, total).otherwise(wrong)).drop(*[f"_n_{m}" for m in table])
+    rows = rows.withColumn("y_pred", F.when(once, total).otherwise(wrong)).drop(*part, *[f"_n_{m}" for m in table])
     return rows if members else rows.drop(*[f"pred_{m}" for m in table])
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helio_spark.catalog import QUERIES, blends, inputs
-from helio_spark.operators.forecasts import PART, align_forecasts, stack_models
+from helio_spark.operators.forecasts import PART, PLACES, align_forecasts, made_by, stack_models
 from helio_spark.operators.ordering import index_rows
 from helio_spark.operators.row_frames import with_row_frames
 
@@ -55,6 +55,17 @@ def test_parts_give_the_same_forecasts(spark, tied):
         want = align_forecasts(stack_models(bare), inputs.MODELS, complete)
         assert got.columns == want.columns
         assert got.drop("y_true").exceptAll(want.drop("y_true")).count() == 0 == want.drop("y_true").exceptAll(got.drop("y_true")).count()
+    keys = ["series_id", "time_idx", "horizon_h"]
+    stacked = stack_models({m: tables[m] for m in ("day", "week")}, PLACES)
+    got, want = made_by(stacked, "week", keys), stacked.join(tables["week"].select(*keys), keys, "left_semi").select(*stacked.columns)
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count() and got.count() < stacked.count()
+
+
+def test_a_key_with_a_null_is_made_by_none(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, "a"), (None, 1, "b"), (2, 1, "a"), (2, 1, "b"), (3, 1, "a")], "time_idx long, horizon_h int, model string"
+    )
+    assert sorted(tuple(r) for r in made_by(rows, "b", ["time_idx", "horizon_h"]).collect()) == [(2, 1, "a"), (2, 1, "b")]
 
 
 def _exchanges(df) -> list[str]:
@@ -79,6 +90,12 @@ def test_nothing_of_the_forecasts_is_stored(spark, tied, monkeypatch):
     assert labels == []
 
 
+def test_stacked_blend_is_made_without_a_shuffle(spark, tied):
+    made = QUERIES["blend_stacked"](spark, tied)
+    assert {kind for _, kind in _exchanges(made)} == {"REPARTITION_BY_NUM"}
+    assert made.count() > 0
+
+
 def test_index_is_in_the_order_of_time(spark, tied):
     rows = index_rows(inputs.events(spark, tied), ties=("event_id",))
     before = F.lag("ts").over(Window.partitionBy("series_id").orderBy("time_idx"))
