@@ -187,3 +187,33 @@ def test_leaves_are_those_of_a_walk(leaves):
         while tree.feature[node] >= 0:
             node = tree.left[node] if row[tree.feature[node]] <= tree.code[node] else tree.right[node]
         assert value == node
+
+
+def test_trial_search_grows_until_early_stopping(spark, tmp_path, monkeypatch):
+    """Four trees at most were grown of each model before, whatever early stopping would have said."""
+    import datetime as dt
+    from dataclasses import replace
+
+    import numpy as np
+
+    from helio_spark.catalog import QUERIES
+    from helio_spark.plans import search
+
+    rng, start = np.random.default_rng(5), dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=30 * i), i % 7, "click", float(50 + 40 * np.sin(i / 9) + rng.normal())) for i in range(420)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    grown, fit = [], search.fit_boosted
+
+    def seen(df, features, targets, specs, segment):
+        grown.extend(specs)
+        # one horizon of each setting and a few trees, for the time of the test only
+        few = [replace(s, trees=6) for s in specs if s.target == 0]
+        fitted = fit(df, features, targets, few, segment)
+        assert max(len(m.losses) - 1 for m in fitted.models) > 4
+        return replace(fitted, models=[m for m in fitted.models for _ in targets])
+
+    monkeypatch.setattr(search, "fit_boosted", seen)
+    found = QUERIES["trial_search"](spark, str(tmp_path))
+    default = Spec(target=0)
+    assert len(grown) == 4 * 24 and {(s.trees, s.patience) for s in grown} == {(default.trees, default.patience)}
+    assert found.count() == 4
